@@ -73,11 +73,43 @@ def _possible(a: str, b: str, share: int, of: int, most_bits: int) -> Column:
     return sizes & (apart <= most_bits)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcasts a written table of ids if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int = 128, rows: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``; see ``grouped``."""
+    return grouped(docs, k, share, of, t, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the least doc_id stays.
+
+    If several rows have that id, one of those with the least text hash stays. Documents without words
+    all stay, and so do the rows of a component that has no doc_id at all, which nothing tells apart.
+    """
+    found = materialize(grouped(docs, **options), "groups")
+    first = found.filter("kept AND n_shingles > 0 AND component_id IS NOT NULL")
+    several = first.groupBy("component_id").agg(F.count("*").alias("times"), F.min("raw").alias("_keep")).filter("times > 1")
+    several = materialize(several.select(F.col("component_id").alias("_several"), "_keep"), "several")
+    extra = first.join(several, (F.col("component_id") == F.col("_several")) & (F.col("raw") != F.col("_keep")))
+    gone = found.filter("NOT kept").select("doc_id", "raw").unionByName(extra.select("doc_id", "raw")).distinct()
+    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")), "gone")
+    raw = F.unhex(F.md5("text"))
+    out = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (raw == F.col("_raw")), "left_anti")
+    if not several.isEmpty():
+        hit = (F.col("doc_id") == F.col("_several")) & (raw == F.col("_keep"))
+        once = out.join(_small(several), hit, "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(_small(several), hit, "left_anti").unionByName(once)
+    return out
+
+
+def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int = 128, rows: int = 4) -> DataFrame:
     """Groups documents that are linked, directly or through others.
 
-    ``docs`` has doc_id and text; other columns are left alone. Returns doc_id, n_shingles,
-    component_id and kept, a row for each row.
+    ``docs`` has doc_id and text; other columns are left alone. Returns doc_id, raw (the md5 of the
+    text), n_shingles, component_id and kept, a row for each row.
 
     A document's set holds its different runs of k lower-cased words (the whole sequence if it has
     fewer). Two are linked if the intersection is at least share / of of the union, on full sets of
@@ -114,8 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100,
     # full sets of what is in them
     wanted = shared.select("node").distinct()
     wanted = materialize(held.join(wanted, "node", "left_semi").join(classes.select("node", "again"), "node").select("node", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "again"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    found = base.join(F.broadcast(wanted) if small else wanted, (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "again", "text")
+    found = base.join(_small(wanted), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "again", "text")
     items = found.mapInArrow(_sets(k), "node bigint, again boolean, items array<bigint>")
     items = materialize(items, "items")
     sets = items.filter("NOT again").unionByName(items.filter("again").dropDuplicates(["node"]))
@@ -149,4 +180,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100,
     release(held, least, shared, wanted, items, stars, links, rest, open_pairs, more)
     out = sketched.select("doc_id", "raw", "n_shingles").join(names, (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from brindle.llm import mixing, packing
+from brindle.llm.language import identified
 from brindle.llm.near_dedup import near_duplicates
-from brindle.session import read_table
+from brindle.llm.quality import classified
+from brindle.llm.sizes import measured
+from brindle.session import materialize, read_table
 
 QUERIES = {}
 SQL = {}
@@ -41,3 +45,56 @@ FROM n JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c
 def op5_minhash_near_dedup(spark, d):
     """Near-duplicate groups of all documents."""
     return near_duplicates(read_table(spark, d, "documents"))
+
+
+@query()
+def op2_language_id(spark, d):
+    """The language of every document."""
+    return identified(read_table(spark, d, "documents"))
+
+
+@query()
+def op9_quality_classifier(spark, d):
+    """A quality score of every document."""
+    return classified(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+@query()
+def op4_best_fit_packing(spark, d):
+    """All documents packed into sequences of 2048 words."""
+    return packing.best_fit(materialize(measured(read_table(spark, d, "documents")), "sizes"))
+
+
+MIXING_SQL = r"""
+WITH RECURSIVE z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w
+    FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source)),
+-- rounds of reshaping: the sources held at three times their size so far
+f(round, held) AS (
+    SELECT 0, CAST([] AS VARCHAR[])
+    UNION ALL
+    SELECT round + 1, list_concat(held, more) FROM (
+        SELECT f.round, f.held, (
+            SELECT coalesce(list(k.name), []) FROM (
+                SELECT coalesce('s' || source, 'n') AS name, w * (SELECT CAST(sum(source_size) - coalesce(sum(CASE WHEN list_contains(f.held, coalesce('s' || source, 'n')) THEN 3 * source_size END), 0) AS DOUBLE)
+                    / nullif(sum(CASE WHEN list_contains(f.held, coalesce('s' || source, 'n')) THEN 0 ELSE w END), 0) FROM s) > 3 * source_size AS above
+                FROM s WHERE NOT list_contains(f.held, coalesce('s' || source, 'n'))) k WHERE k.above) AS more
+        FROM f) WHERE len(more) > 0),
+h AS (SELECT held FROM f ORDER BY round DESC LIMIT 1),
+l AS (SELECT CAST(sum(source_size) - coalesce(sum(CASE WHEN list_contains(held, coalesce('s' || source, 'n')) THEN 3 * source_size END), 0) AS DOUBLE)
+    / nullif(sum(CASE WHEN list_contains(held, coalesce('s' || source, 'n')) THEN 0 ELSE w END), 0) AS level FROM s, h),
+t AS (SELECT source, source_size, CASE WHEN list_contains(held, coalesce('s' || source, 'n')) THEN CAST(3 * source_size AS DOUBLE) ELSE w * level END AS target FROM s, h, l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 3) AS BIGINT) ELSE 0 END AS whole FROM t),
+u AS (SELECT z.*, g.source_size, g.target, g.whole, greatest(CAST(floor(target + 0.5) AS BIGINT) - whole * source_size, 0) AS rest,
+    sum(size) OVER (PARTITION BY z.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY z.source, h) AS unit
+    FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN upto <= rest THEN size WHEN upto - unit < rest THEN floor(CAST(size * (rest - (upto - unit)) AS DOUBLE) / unit) ELSE 0 END AS BIGINT) AS taken FROM u
+"""
+
+
+@query(MIXING_SQL)
+def op8_source_mixing(spark, d):
+    """All documents mixed to weights 5, 2, 1."""
+    docs = read_table(spark, d, "documents")
+    return mixing.mixed_sizes(materialize(measured(docs).select("doc_id", "source", "size"), "sizes"))
