@@ -73,6 +73,11 @@ def _possible(a: str, b: str, share: int, of: int, most_bits: int) -> Column:
     return sizes & (apart <= most_bits)
 
 
+def _divided(placed: DataFrame) -> DataFrame:
+    """Keys of buckets whose members have more than one root."""
+    return placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+
+
 def _small(table: DataFrame) -> DataFrame:
     """Broadcasts a written table of ids if it is small."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -118,9 +123,12 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     t (1 - J) / 2 = 16 with a deviation of 3.7 there, so the limit of 40 loses none in 1e9.
 
     Exact copies are one class before any pair is made. In each band's bucket every class is first
-    compared with the bucket's least class only, so a bucket of n makes n pairs, however large; what
-    that leaves in different components is compared pair by pair, within the buckets that are still
-    divided, so that no link is lost.
+    compared with the bucket's least class only, so a bucket of n makes n pairs, however large. Buckets
+    that this leaves in several components get a second, random centre, and what is still apart then is
+    compared pair by pair, so that no link is lost. Most of these pairs are ruled out by an exact bound
+    before they are made: of a set, m shingles occur in any other set of the divided buckets, and two
+    sets of n and n' have at most min(m, m') in common. A heavily changed copy in a large group of
+    copies has too many shingles of its own to be linked with any of them.
 
     Defined results: a null or empty text, or one without words, has n_shingles 0, is linked with
     nothing and has its own doc_id as component_id; a repeated doc_id has a row each time, by its own
@@ -164,20 +172,35 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
 
     # the rest of the pairs in buckets that are not yet one component
     placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    divided = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    rest = materialize(known(placed.join(divided, "key", "left_semi").withColumnRenamed("node", "s"), "s"), "divided")
-    one, two = (rest.select("key", F.col("s").alias(x), F.col("root").alias(f"{x}root"), F.col("sn").alias(f"{x}n"), F.col("sbits").alias(f"{x}bits")) for x in "ab")
-    open_pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & _possible("a", "b", share, of, most_bits)).select("a", "b").distinct()
-    open_pairs = materialize(open_pairs.join(stars, ["a", "b"], "left_anti"), "open")
-    more = materialize(_verified(open_pairs, sets, share, of), "verified")
-    if not more.isEmpty():
-        joined = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
-        roots = materialize(components(joined), "roots")
+    divided = materialize(placed.join(_divided(placed), "key", "left_semi").select("key", "node"), "divided")
+    own = sets.join(divided.select("node").distinct(), "node", "left_semi")
+    alone = own.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(F.count("*").alias("alone"))
+    able = known(own.select(F.col("node").alias("s")), "s").join(alone, F.col("s") == F.col("node"), "left").select("s", "sn", "sbits", (F.col("sn") - F.coalesce("alone", F.lit(0))).alias("sm"))
+    able = materialize(able.filter(of * F.col("sm") >= share * F.col("sn")), "able")
+    rest = materialize(divided.join(able, F.col("node") == F.col("s")).drop("node"), "rest")
+    done = stars
+    for every in (False, True):
+        now = rest.join(roots, F.col("s") == F.col("node"), "left").withColumn("sroot", F.coalesce("root", "s")).drop("node", "root")
+        now = materialize(now.join(_divided(now.withColumnRenamed("sroot", "root")), "key", "left_semi"), "open")
+        one, two = (now.select("key", *[F.col(f"s{c}").alias(f"{x}{c}") for c in ("", "root", "n", "m", "bits")]) for x in "ab")
+        if not every:
+            one = one.join(now.groupBy(F.col("key").alias("k")).agg(F.min_by("s", F.xxhash64("key", "s")).alias("pick")), (F.col("key") == F.col("k")) & (F.col("a") == F.col("pick"))).drop("k", "pick")
+        order = F.col("a") < F.col("b") if every else F.col("a") != F.col("b")
+        most = F.least("am", "bm")
+        bound = of * most >= share * (F.col("an") + F.col("bn") - most)
+        pairs = one.join(two, (one["key"] == two["key"]) & order & (F.col("aroot") != F.col("broot")) & bound & _possible("a", "b", share, of, most_bits))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verified(pairs, sets, share, of), "verified")
+        if not more.isEmpty():
+            roots = materialize(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
+        done = done.unionByName(pairs)
+        release(now, more)
 
     names = classes.join(roots, "node", "left").select("raw", "first_id", F.coalesce("root", "node").alias("root"))
     ids = names.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
     names = materialize(names.join(ids, F.col("root") == F.col("r")).select(F.col("raw").alias("_raw"), "component_id"), "names")
-    release(held, least, shared, wanted, items, stars, links, rest, open_pairs, more)
+    release(held, least, shared, wanted, items, links, divided, able, rest)
     out = sketched.select("doc_id", "raw", "n_shingles").join(names, (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -7,6 +7,7 @@ from brindle.llm.language import identified
 from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.quality import classified
 from brindle.llm.sizes import measured
+from brindle.llm.vector_dedup import near_vectors
 from brindle.session import materialize, read_table
 
 QUERIES = {}
@@ -98,3 +99,22 @@ def op8_source_mixing(spark, d):
     """All documents mixed to weights 5, 2, 1."""
     docs = read_table(spark, d, "documents")
     return mixing.mixed_sizes(materialize(measured(docs).select("doc_id", "source", "size"), "sizes"))
+
+
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM x
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+    AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.93 * a.n * b.n),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.x, r.reach FROM r JOIN l ON l.y = r.vec_id),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id),
+d AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT c.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN d USING (vec_id)
+"""
+
+
+@query(NEAR_VECTORS_SQL)
+def op6_embedding_near_dedup(spark, d):
+    """Near-duplicate groups of all vectors, by label."""
+    return near_vectors(read_table(spark, d, "embeddings"))
