@@ -8,6 +8,7 @@ from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.quality import classified
 from brindle.llm.sizes import measured
 from brindle.llm.vector_dedup import near_vectors
+from brindle.llm.warc import archived
 from brindle.session import materialize, read_table
 
 QUERIES = {}
@@ -118,3 +119,20 @@ SELECT c.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, c.
 def op6_embedding_near_dedup(spark, d):
     """Near-duplicate groups of all vectors, by label."""
     return near_vectors(read_table(spark, d, "embeddings"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query(WARC_SQL)
+def op10_warc(spark, d):
+    """All pages archived, normalized and read back."""
+    return archived(read_table(spark, d, "pages"))
