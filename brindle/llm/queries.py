@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from brindle.llm import mixing, packing
+from brindle.llm.html_text import page_texts
 from brindle.llm.language import identified
+from brindle.llm.media import media_digests
 from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.quality import classified
 from brindle.llm.sizes import measured
@@ -136,3 +138,15 @@ FROM f
 def op10_warc(spark, d):
     """All pages archived, normalized and read back."""
     return archived(read_table(spark, d, "pages"))
+
+
+@query()
+def op3_html_extraction(spark, d):
+    """The visible text of all pages."""
+    return page_texts(read_table(spark, d, "pages"))
+
+
+@query()
+def op7_media_columns(spark, d):
+    """All documents stored as progressive JPEG files and read back."""
+    return media_digests(read_table(spark, d, "documents"))
