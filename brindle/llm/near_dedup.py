@@ -124,8 +124,8 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
 
     Exact copies are one class before any pair is made. In each band's bucket every class is first
     compared with the bucket's least class only, so a bucket of n makes n pairs, however large. Buckets
-    that this leaves in several components get a second, random centre, and what is still apart then is
-    compared pair by pair, so that no link is lost. Most of these pairs are ruled out by an exact bound
+    that this leaves in several components get a second centre, the member with the fewest shingles of
+    its own, and what is still apart then is compared pair by pair, so that no link is lost. Most of these pairs are ruled out by an exact bound
     before they are made: of a set, m shingles occur in any other set of the divided buckets, and two
     sets of n and n' have at most min(m, m') in common. A heavily changed copy in a large group of
     copies has too many shingles of its own to be linked with any of them.
@@ -184,7 +184,8 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
         now = materialize(now.join(_divided(now.withColumnRenamed("sroot", "root")), "key", "left_semi"), "open")
         one, two = (now.select("key", *[F.col(f"s{c}").alias(f"{x}{c}") for c in ("", "root", "n", "m", "bits")]) for x in "ab")
         if not every:
-            one = one.join(now.groupBy(F.col("key").alias("k")).agg(F.min_by("s", F.xxhash64("key", "s")).alias("pick")), (F.col("key") == F.col("k")) & (F.col("a") == F.col("pick"))).drop("k", "pick")
+            # the member with the fewest shingles of its own is nearest to the text the others were made from
+            one = one.join(now.groupBy(F.col("key").alias("k")).agg(F.max_by("s", F.struct(F.col("sm") / F.col("sn"), "s")).alias("pick")), (F.col("key") == F.col("k")) & (F.col("a") == F.col("pick"))).drop("k", "pick")
         order = F.col("a") < F.col("b") if every else F.col("a") != F.col("b")
         most = F.least("am", "bm")
         bound = of * most >= share * (F.col("an") + F.col("bn") - most)
