@@ -5,6 +5,7 @@ from __future__ import annotations
 from brindle.llm import mixing, packing
 from brindle.llm.html_text import page_texts
 from brindle.llm.language import identified
+from brindle.llm.licenses import TEMPLATES, licensed
 from brindle.llm.media import media_digests
 from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.quality import classified
@@ -150,3 +151,23 @@ def op3_html_extraction(spark, d):
 def op7_media_columns(spark, d):
     """All documents stored as progressive JPEG files and read back."""
     return media_digests(read_table(spark, d, "documents"))
+
+
+LICENSES_SQL = r"""
+WITH t(license, text) AS (VALUES %s),
+b AS (SELECT doc_id, NULL AS license, text FROM documents UNION ALL SELECT NULL, license, text FROM t),
+w AS (SELECT doc_id, license, regexp_extract_all(translate(regexp_replace(text, '[.,;:()"'']', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM b WHERE text IS NOT NULL),
+s AS (SELECT doc_id, license, unnest(range(0, len(words) - 4)) AS place, words FROM w WHERE len(words) >= 5),
+k AS (SELECT doc_id, license, place, array_to_string(words[place + 1:place + 5], ' ') AS item FROM s),
+n AS (SELECT license, count(DISTINCT item) AS shingles FROM k WHERE license IS NOT NULL GROUP BY license)
+SELECT d.doc_id, i.license, count(DISTINCT d.item) AS found, n.shingles, min(d.place) AS word
+FROM k d JOIN (SELECT DISTINCT license, item FROM k WHERE license IS NOT NULL) i ON d.item = i.item JOIN n ON n.license = i.license
+WHERE d.doc_id IS NOT NULL GROUP BY d.doc_id, i.license, n.shingles HAVING count(DISTINCT d.item) >= 0.75 * n.shingles
+""" % ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+
+
+@query(LICENSES_SQL)
+def op1_license_scan(spark, d):
+    """Licenses in all documents."""
+    return licensed(read_table(spark, d, "documents"))
