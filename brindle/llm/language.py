@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import text as tx
@@ -137,19 +137,18 @@ def language_scorer(model: Model):
     return predict
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) of every whole text.
+def language_of(text: Column, model: Model) -> tuple[Column, Column]:
+    """The language of a whole text and its probability.
 
     Defined results: a text that is null, empty or without a letter is ``und`` with score 0; so is
     every text if the model has learned no class.
     """
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_letters", letters).withColumn("_p", language_scorer(model)(F.lower("text")))
-    return out.withColumn("lang_pred", F.when(F.col("_letters"), F.col("_p.lang")).otherwise("und")).withColumn("score", F.when(F.col("_letters"), F.col("_p.score")).otherwise(0.0)).drop("_p", "_letters")
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    found = language_scorer(model)(F.lower(text))
+    return F.when(letters, found["lang"]).otherwise("und"), F.when(letters, found["score"]).otherwise(0.0)
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for all documents, learned from those not held out."""
-    model = train(docs)
-    out = with_language(docs.select(F.col("doc_id").alias("doc_id"), "text"), model)
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    lang, score = language_of(F.col("text"), train(docs))
+    return docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), lang.alias("lang_pred"), score.alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.sizes import GAP
-from brindle.session import materialize, release
+from brindle.session import materialize
 
 #: Rows up to which the table of sources is broadcast.
 BROADCAST_ROWS = 100_000
@@ -108,11 +108,10 @@ def mixed_documents(docs: DataFrame, sizes: DataFrame, size: Column, weights: Se
     of its text, parted by single spaces.
     """
     mix = materialize(plan(sizes, weights, epochs, seed), "mix")
-    n, t = F.col("_size"), F.col("taken")
-    df = taken(docs.withColumn("_size", size).withColumn("size", F.col("_size")), mix, seed).filter("taken > 0")
-    df = df.withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((t - 1) / n).cast("int")), lambda i: t - i * n)))
-    first = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{GAP}", ""), GAP), 1, F.col("_left").cast("int")), " ")
-    return df.withColumn("text", F.when(F.col("_left") < n, first).otherwise(F.col("text"))).select(*docs.columns)
-
-
-__all__ = ["mixed_documents", "mixed_sizes", "plan", "release", "taken", "targets"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart, as its columns may have any names
+    df = taken(docs.select(row, "doc_id", "source", size.alias("size")), mix, seed).filter("taken > 0")
+    n, t, text = F.col("size"), F.col("taken"), F.col("row.text")
+    df = df.withColumn("left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((t - 1) / n).cast("int")), lambda i: t - i * n)))
+    first = F.array_join(F.slice(F.split(F.regexp_replace(text, f"^{GAP}", ""), GAP), 1, F.col("left").cast("int")), " ")
+    text = F.when(F.col("left") < n, first).otherwise(text)
+    return df.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

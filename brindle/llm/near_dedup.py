@@ -96,15 +96,15 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """
     found = materialize(grouped(docs, **options), "groups")
     first = found.filter("kept AND n_shingles > 0 AND component_id IS NOT NULL")
-    several = first.groupBy("component_id").agg(F.count("*").alias("times"), F.min("raw").alias("_keep")).filter("times > 1")
-    several = materialize(several.select(F.col("component_id").alias("_several"), "_keep"), "several")
-    extra = first.join(several, (F.col("component_id") == F.col("_several")) & (F.col("raw") != F.col("_keep")))
+    several = first.groupBy("component_id").agg(F.count("*").alias("times"), F.min("raw").alias("_brindle_raw")).filter("times > 1")
+    several = materialize(several.select(F.col("component_id").alias("_brindle_id"), "_brindle_raw"), "several")
+    extra = first.join(several, (F.col("component_id") == F.col("_brindle_id")) & (F.col("raw") != F.col("_brindle_raw")))
     gone = found.filter("NOT kept").select("doc_id", "raw").unionByName(extra.select("doc_id", "raw")).distinct()
-    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")), "gone")
+    gone = materialize(gone.select(F.col("doc_id").alias("_brindle_id"), F.col("raw").alias("_brindle_raw")), "gone")
     raw = F.unhex(F.md5("text"))
-    out = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (raw == F.col("_raw")), "left_anti")
+    out = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_brindle_id")) & (raw == F.col("_brindle_raw")), "left_anti")
     if not several.isEmpty():
-        hit = (F.col("doc_id") == F.col("_several")) & (raw == F.col("_keep"))
+        hit = (F.col("doc_id") == F.col("_brindle_id")) & (raw == F.col("_brindle_raw"))
         once = out.join(_small(several), hit, "left_semi").dropDuplicates(["doc_id"])
         out = out.join(_small(several), hit, "left_anti").unionByName(once)
     return out

@@ -211,7 +211,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 9) -
 
 
 def quality_scorer(model: Model | None):
-    """A column function of a text: its score."""
+    """A column function of a whole text: its score, 0 to 1.
+
+    Defined results: a null text is scored as an empty one, which has a score like any other; without
+    any trusted positive nothing can be learned, and all texts have 0.5.
+    """
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
@@ -225,16 +229,7 @@ def quality_scorer(model: Model | None):
     return score
 
 
-def with_quality(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on) of every whole text.
-
-    Defined results: a null text is scored as an empty one, which has a score like any other; without
-    any trusted positive nothing can be learned, and all texts have 0.5 and stay.
-    """
-    return docs.withColumn("score", quality_scorer(model)(F.col("text"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for all documents, learned from those not held out."""
-    out = with_quality(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+    out = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), quality_scorer(train(docs, labels))(F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

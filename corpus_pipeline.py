@@ -20,14 +20,14 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognizable language."""
-    model = language.train(docs)
-    return language.with_language(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = language.language_of(F.col("text"), language.train(docs))
+    return docs.filter((lang != "und") & (score >= LEAST_LANGUAGE_SCORE))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the quality classifier predicts to be bad."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.with_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    return docs.filter(quality.quality_scorer(model)(F.col("text")) >= 0.5)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
