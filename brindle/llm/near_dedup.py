@@ -57,13 +57,21 @@ def _sets(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have share / of in common or more, as u and v."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    common = F.size(F.array_intersect("x", "y")).cast("bigint")
-    joined = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    return joined.filter(of * F.col("common") >= share * (F.size("x") + F.size("y") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A written table of pairs (a, b), with the sizes x and y of their sets and what these have in common."""
+
+    def side(name: str, size: str, items: str) -> DataFrame:
+        wanted = materialize(pairs.select(F.col(name).alias("_node")).distinct(), "side")
+        some = sets.join(_small(wanted), F.col("node") == F.col("_node"), "left_semi")
+        return some.select(F.col("node").alias(name), F.size("items").cast("bigint").alias(size), F.col("items").alias(items))
+
+    both = pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b")
+    return materialize(both.select("a", "b", "x", "y", F.size(F.array_intersect("xs", "ys")).cast("bigint").alias("common")), "common")
+
+
+def _links(common: DataFrame, share: int, of: int) -> DataFrame:
+    """Pairs that have share / of of their union in common or more, as u and v."""
+    return common.filter(of * F.col("common") >= share * (F.col("x") + F.col("y") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _possible(a: str, b: str, share: int, of: int, most_bits: int) -> Column:
@@ -78,6 +86,13 @@ def _divided(placed: DataFrame) -> DataFrame:
     return placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with more links."""
+    if links.isEmpty():
+        return roots
+    return materialize(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), "roots")
+
+
 def _small(table: DataFrame) -> DataFrame:
     """Broadcasts a written table of ids if it is small."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -125,10 +140,11 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     Exact copies are one class before any pair is made. In each band's bucket every class is first
     compared with the bucket's least class only, so a bucket of n makes n pairs, however large. Buckets
     that this leaves in several components get a second centre, the member with the fewest shingles of
-    its own, and what is still apart then is compared pair by pair, so that no link is lost. Most of these pairs are ruled out by an exact bound
-    before they are made: of a set, m shingles occur in any other set of the divided buckets, and two
-    sets of n and n' have at most min(m, m') in common. A heavily changed copy in a large group of
-    copies has too many shingles of its own to be linked with any of them.
+    its own, and what is still apart then is compared pair by pair, so that no link is lost. Most of
+    these pairs are ruled out by an exact bound before they are made: of a set, m shingles occur in any
+    other set of the divided buckets, k of them in the centre's; so two sets have at most
+    min(k, k') + min(m - k, m' - k') in common. A heavily changed copy in a large group of copies has
+    too many shingles of its own to be linked with any of them. A pair is made in one bucket only.
 
     Defined results: a null or empty text, or one without words, has n_shingles 0, is linked with
     nothing and has its own doc_id as component_id; a repeated doc_id has a row each time, by its own
@@ -167,7 +183,7 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     # everyone against the least of the bucket
     stars = shared.filter("node <> least").select(F.col("node").alias("b"), F.col("least").alias("a")).distinct()
     stars = materialize(known(known(stars, "a"), "b").filter(_possible("a", "b", share, of, most_bits)).select("a", "b"), "stars")
-    links = materialize(_verified(stars, sets, share, of), "verified")
+    links = _links(_common(stars, sets), share, of)
     roots = materialize(components(links), "roots")
 
     # the rest of the pairs in buckets that are not yet one component
@@ -178,30 +194,28 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     able = known(own.select(F.col("node").alias("s")), "s").join(alone, F.col("s") == F.col("node"), "left").select("s", "sn", "sbits", (F.col("sn") - F.coalesce("alone", F.lit(0))).alias("sm"))
     able = materialize(able.filter(of * F.col("sm") >= share * F.col("sn")), "able")
     rest = materialize(divided.join(able, F.col("node") == F.col("s")).drop("node"), "rest")
-    done = stars
-    for every in (False, True):
-        now = rest.join(roots, F.col("s") == F.col("node"), "left").withColumn("sroot", F.coalesce("root", "s")).drop("node", "root")
-        now = materialize(now.join(_divided(now.withColumnRenamed("sroot", "root")), "key", "left_semi"), "open")
-        one, two = (now.select("key", *[F.col(f"s{c}").alias(f"{x}{c}") for c in ("", "root", "n", "m", "bits")]) for x in "ab")
-        if not every:
-            # the member with the fewest shingles of its own is nearest to the text the others were made from
-            one = one.join(now.groupBy(F.col("key").alias("k")).agg(F.max_by("s", F.struct(F.col("sm") / F.col("sn"), "s")).alias("pick")), (F.col("key") == F.col("k")) & (F.col("a") == F.col("pick"))).drop("k", "pick")
-        order = F.col("a") < F.col("b") if every else F.col("a") != F.col("b")
-        most = F.least("am", "bm")
-        bound = of * most >= share * (F.col("an") + F.col("bn") - most)
-        pairs = one.join(two, (one["key"] == two["key"]) & order & (F.col("aroot") != F.col("broot")) & bound & _possible("a", "b", share, of, most_bits))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(_verified(pairs, sets, share, of), "verified")
-        if not more.isEmpty():
-            roots = materialize(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
-        done = done.unionByName(pairs)
-        release(now, more)
+    # the member with the fewest shingles of its own is nearest to the text the others were made from
+    centre = rest.groupBy("key").agg(F.max_by("s", F.struct(F.col("sm") / F.col("sn"), "s")).alias("centre"))
+    rest = rest.join(centre, "key")
+    near = _common(rest.select(F.col("s").alias("a"), F.col("centre").alias("b")).distinct(), sets)
+    roots = _merged(roots, _links(near, share, of))
+    rest = rest.join(near.select(F.col("a").alias("s"), F.col("b").alias("centre"), F.col("common").alias("sk")), ["s", "centre"])
+    rest = rest.join(roots, F.col("s") == F.col("node"), "left").withColumn("sroot", F.coalesce("root", "s")).drop("node", "root")
+    rest = materialize(rest.join(_divided(rest.withColumnRenamed("sroot", "root")), "key", "left_semi"), "open")
+    rest = rest.join(rest.groupBy(F.col("s").alias("t")).agg(F.sort_array(F.collect_set("key")).alias("skeys")), F.col("s") == F.col("t"))
+    rest = materialize(rest.select("key", "s", "sroot", "sn", "sm", "sk", "sbits", "skeys"), "open")
+    one, two = (rest.select("key", *[F.col(f"s{c}").alias(f"{x}{c}") for c in ("", "root", "n", "m", "k", "bits", "keys")]) for x in "ab")
+    most = F.least("ak", "bk") + F.least(F.col("am") - F.col("ak"), F.col("bm") - F.col("bk"))
+    bound = of * most >= share * (F.col("an") + F.col("bn") - most)
+    first = F.array_min(F.array_intersect("akeys", "bkeys")) == one["key"]
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & bound & _possible("a", "b", share, of, most_bits) & first)
+    pairs = materialize(pairs.select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
+    roots = _merged(roots, _links(_common(pairs, sets), share, of))
 
     names = classes.join(roots, "node", "left").select("raw", "first_id", F.coalesce("root", "node").alias("root"))
     ids = names.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
     names = materialize(names.join(ids, F.col("root") == F.col("r")).select(F.col("raw").alias("_raw"), "component_id"), "names")
-    release(held, least, shared, wanted, items, links, divided, able, rest)
+    release(held, least, shared, wanted, items, divided, able, rest)
     out = sketched.select("doc_id", "raw", "n_shingles").join(names, (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
