@@ -117,12 +117,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, rate: float = 0.01, decay: float = 1e-4, seed: int = 3, naive: bool = False) -> Model:
-    """Minimizes the non-negative unbiased risk with the logistic loss (Kiryo and others, 2017).
-
-    The risk is prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)]). Where the second part falls
-    below 0 in a batch, its ascent step is taken instead, as the paper does. ``naive`` tells positives
-    from unlabelled rows, which the estimate of the prior needs.
+def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4, seed: int = 3, naive: bool = False) -> Model:
+    """Minimizes the non-negative unbiased risk (Kiryo and others, 2017).
+
+    The risk is prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)]) with the sigmoid loss
+    l(z) = 1 / (1 + exp(z)), which is bounded, so that a slightly wrong prior doesn't hold all margins
+    near 0. Where the second part falls below 0 in a batch, its ascent step is taken instead, as the
+    paper does. ``naive`` tells positives from unlabelled rows by the logistic loss, which the estimate
+    of the prior needs.
     """
     rng = np.random.default_rng(seed)
     both = np.vstack([positive, unlabelled])
@@ -132,23 +134,18 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     w = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for step in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 512)]
-        x = np.vstack([xp, xu])
+        x = np.vstack([p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]])
         h = np.tanh(x @ w[0] + w[1])
-        g = h @ w[2] + w[3][0]
-        s = _sigmoid(g)
-        gp, gu = g[:512], g[512:]
-        dg = np.zeros(1024)
+        s = _sigmoid(h @ w[2] + w[3][0])
+        sp, su = s[:batch], s[batch:]
         if naive:
-            dg[:512], dg[512:] = (s[:512] - 1) / 512, s[512:] / 512
+            dg = np.concatenate([sp - 1, su]) / batch
         else:
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if negative >= 0:
-                dg[:512] = prior * ((s[:512] - 1) - s[:512]) / 512
-                dg[512:] = s[512:] / 512
+            dp, du = sp * (1 - sp) / batch, su * (1 - su) / batch
+            if su.mean() >= prior * sp.mean():
+                dg = np.concatenate([-2 * prior * dp, du])
             else:
-                dg[:512] = prior * s[:512] / 512
-                dg[512:] = -s[512:] / 512
+                dg = np.concatenate([prior * dp, -du])
         dh = np.outer(dg, w[2]) * (1 - h * h)
         grads = [x.T @ dh + decay * w[0], dh.sum(axis=0), h.T @ dg + decay * w[2], np.array([dg.sum()])]
         for i, gr in enumerate(grads):
