@@ -1,4 +1,4 @@
-"""Hash partitions and physical row addresses as columns."""
+"""Hash partitions, physical row addresses and tagged words as columns."""
 
 from __future__ import annotations
 
@@ -18,3 +18,18 @@ def hash_bucket(buckets: int, *keys: Column, level: int = 0) -> Column:
 def item_pointer(row_id: Column, slots: int = 128) -> tuple[Column, Column]:
     """Block and offset of a row where each block has so many slots."""
     return F.floor(row_id / slots).cast("bigint"), F.pmod(row_id, F.lit(slots)).cast("bigint")
+
+
+def tagged(tx: Column) -> Column:
+    """A transaction id as a 64-bit word that no timestamp equals: its top bit is set."""
+    return F.lit(-(1 << 63)).bitwiseOR(tx.cast("bigint"))
+
+
+def is_owner(word: Column) -> Column:
+    """Whether a word holds a transaction id; in signed arithmetic it is then negative."""
+    return word < 0
+
+
+def owner(word: Column) -> Column:
+    """The transaction id of a word, or null for a timestamp."""
+    return F.when(is_owner(word), word.bitwiseAND(F.lit((1 << 63) - 1)))

@@ -87,6 +87,37 @@ def validate_commits(read_write: DataFrame, versions: DataFrame, key: str = "rid
     return joined.groupBy("tx").agg(F.bool_and(own | free).alias("commits"))
 
 
+def access_sets(operations: DataFrame) -> DataFrame:
+    """What each transaction has done to each row in all: columns tx, rid, access and sound.
+
+    ``operations`` has tx, rid, op (read, update, insert, delete) and seq. A row that a transaction
+    inserts and deletes is ``insert_delete``; else a delete counts before an insert, an insert before an
+    update, and these before a read. It is not sound to touch a row after its delete.
+    """
+    has = lambda op: F.bool_or(F.col("op") == op)
+    gone = F.min(F.when(F.col("op") == "delete", F.col("seq")))
+    last = F.max("seq")
+    done = operations.groupBy("tx", "rid").agg(has("insert").alias("i"), has("delete").alias("d"), has("update").alias("u"), gone.alias("gone"), last.alias("last"))
+    access = F.when(F.col("i") & F.col("d"), "insert_delete").when(F.col("d"), "delete").when(F.col("i"), "insert").when(F.col("u"), "update").otherwise("read")
+    return done.select("tx", "rid", access.alias("access"), (F.col("gone").isNull() | (F.col("last") <= F.col("gone"))).alias("sound"))
+
+
+def install(versions: DataFrame, writes: DataFrame) -> DataFrame:
+    """The versions after commits: rid, value, begin_ts and end_ts.
+
+    ``writes`` has rid, access, value and commit_ts of transactions that may commit. An update ends the
+    open version and begins another one, a delete only ends it, an insert only begins one, and an
+    insert that was deleted again leaves nothing. Commits to one row take effect in order of time.
+    """
+    w = writes.filter(F.col("access").isin("update", "delete", "insert")).select("rid", "access", "value", "commit_ts")
+    ends = w.groupBy(F.col("rid").alias("_rid")).agg(F.min("commit_ts").alias("_ts"))
+    old = versions.join(ends, F.col("rid") == F.col("_rid"), "left")
+    old = old.select("rid", "value", "begin_ts", F.coalesce("end_ts", "_ts").alias("end_ts"))
+    after = F.lead("commit_ts").over(Window.partitionBy("rid").orderBy("commit_ts"))
+    new = w.select("rid", "access", "value", F.col("commit_ts").alias("begin_ts"), after.alias("end_ts")).filter(F.col("access") != "delete")
+    return old.unionByName(new.drop("access"))
+
+
 def cascading_abort(dependencies: DataFrame, aborted: DataFrame, rounds: int = 100) -> DataFrame:
     """All transactions that abort: those given and whatever depends on them, directly or not.
 

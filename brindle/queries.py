@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.address import hash_bucket, item_pointer
+from brindle.functions.address import hash_bucket, is_owner, item_pointer, owner, tagged
 from brindle.operators import mvcc
 from brindle.operators.join import equi_join
 from brindle.plans import Aggregate, Delete, Distinct, Filter, HashJoin, IndexScan, Insert, Limit, NestedLoopJoin, Project, RangeScan, RawInput, SeqScan, Update, lower
@@ -360,3 +360,45 @@ def lock_matrix(spark, d):
 def cascading_abort(spark, d):
     pairs = [(21, 1), (21, 2), (22, 1), (22, 2), (31, 21), (31, 22), (32, 21), (32, 22), (41, 31), (42, 99)]
     return mvcc.cascading_abort(memory.rows(spark, pairs, "tx bigint, depends_on bigint"), memory.rows(spark, [(2,)], "tx bigint"))
+
+
+@query("SELECT 3 AS key, n_name AS value, 0 AS seq FROM nation WHERE n_nationkey = 3")
+def kv_get(spark, d):
+    return kv.get(_kv(spark, d)[0], 3)
+
+
+@query("SELECT o_orderkey AS rid, o_orderkey % 5 = 0 AS owned, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey END AS owner, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS ts FROM orders")
+def tagged_words(spark, d):
+    word = F.when(F.col("o_orderkey") % 5 == 0, tagged(F.col("o_custkey"))).otherwise(F.col("o_orderkey"))
+    w = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("rid"), word.alias("word"))
+    return w.select("rid", is_owner(F.col("word")).alias("owned"), owner(F.col("word")).alias("owner"), F.when(~is_owner(F.col("word")), F.col("word")).alias("ts"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS tx, o_orderkey % 3 AS rid, ['read', 'update', 'insert', 'delete'][o_orderkey // 3 % 4 + 1] AS op, o_orderkey AS seq FROM orders),
+    k AS (SELECT tx, rid, list(op ORDER BY seq) AS ops FROM o GROUP BY tx, rid)
+    SELECT tx, rid, CASE WHEN list_contains(ops, 'insert') AND list_contains(ops, 'delete') THEN 'insert_delete' WHEN list_contains(ops, 'delete') THEN 'delete'
+        WHEN list_contains(ops, 'insert') THEN 'insert' WHEN list_contains(ops, 'update') THEN 'update' ELSE 'read' END AS access,
+        NOT list_contains(ops[:-2], 'delete') AS sound FROM k"""
+)
+def access_sets(spark, d):
+    op = F.element_at(F.array(*[F.lit(x) for x in ("read", "update", "insert", "delete")]), (F.floor(F.col("o_orderkey") / 3) % 4 + 1).cast("int"))
+    o = read_table(spark, d, "orders")
+    return mvcc.access_sets(o.select(F.col("o_custkey").alias("tx"), (F.col("o_orderkey") % 3).alias("rid"), op.alias("op"), F.col("o_orderkey").alias("seq")))
+
+
+@query(
+    """WITH w AS (SELECT CASE WHEN o_orderkey % 5 IN (2, 4) THEN o_orderkey + 1000000 ELSE o_custkey END AS rid, o_orderkey % 5 AS op, o_totalprice AS value, o_orderkey + 10 AS ts FROM orders),
+    e AS (SELECT * FROM w WHERE op IN (0, 1, 2)),
+    v AS (SELECT c_custkey AS rid, 9 AS op, c_acctbal AS value, CAST(1 AS BIGINT) AS ts FROM customer UNION ALL SELECT * FROM e),
+    x AS (SELECT *, (SELECT min(n.ts) FROM e n WHERE n.rid = v.rid AND n.ts > v.ts) AS end_ts FROM v)
+    SELECT rid, value, ts AS begin_ts, end_ts FROM x WHERE op <> 1"""
+)
+def commit_install(spark, d):
+    """Updates, deletes and inserts, and inserts deleted again, of many transactions."""
+    k = F.col("o_orderkey")
+    access = F.element_at(F.array(*[F.lit(x) for x in ("update", "delete", "insert", "read", "insert_delete")]), (k % 5 + 1).cast("int"))
+    rid = F.when((k % 5).isin(2, 4), k + 1000000).otherwise(F.col("o_custkey"))
+    writes = read_table(spark, d, "orders").select(rid.alias("rid"), access.alias("access"), F.col("o_totalprice").alias("value"), (k + 10).alias("commit_ts"))
+    versions = read_table(spark, d, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_acctbal").alias("value"), F.lit(1).cast("bigint").alias("begin_ts"), F.lit(None).cast("bigint").alias("end_ts"))
+    return mvcc.install(versions, writes)

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
+from pyspark.testing import assertDataFrameEqual
 
 
 def rows(spark: SparkSession, data: Iterable[tuple], schema: str | T.StructType) -> DataFrame:
@@ -26,3 +27,8 @@ def collect(df: DataFrame) -> list[Row]:
 def pretty(df: DataFrame, limit: int = 1000) -> str:
     """The result as a boxed text table; an empty result has its header."""
     return df._show_string(limit, False, False)
+
+
+def assert_same_rows(df: DataFrame, expected: DataFrame) -> None:
+    """Fails unless both tables have the same rows, in any order."""
+    assertDataFrameEqual(df, expected, checkRowOrder=False)

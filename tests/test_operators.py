@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from brindle import errors
-from brindle.functions.address import hash_bucket, item_pointer
+from brindle.functions.address import hash_bucket, is_owner, item_pointer, owner, tagged
 from brindle.functions.types import type_of
 from brindle.operators import dml, mvcc, relational
 from brindle.operators.join import equi_join, nested_loop_join
@@ -192,6 +192,11 @@ def test_addresses(spark):
     assert got.distinct().count() == 100
 
 
+def test_tagged_words(spark):
+    w = spark.range(0, 3).select(F.when(F.col("id") == 1, F.col("id")).otherwise(tagged(F.col("id"))).alias("w"))
+    assert values(w.select(is_owner(F.col("w")), owner(F.col("w")))) == [(False, None), (True, 0), (True, 2)]
+
+
 def test_memory_and_replay(spark):
     df = replay([memory.rows(spark, [(1, "a")], "k int, v string"), memory.rows(spark, [], "k int, v string")])
     assert memory.collect(df)[0] == (1, "a") and "|1" in memory.pretty(df) and "|k" in memory.pretty(df.limit(0))
@@ -232,6 +237,21 @@ def test_commit_validation(spark):
     assert got == {1: True, 2: False, 7: True, 8: False, 9: False, 10: True, 11: True, 12: False}
 
 
+def test_access_sets(spark):
+    ops = [(1, 1, "read", 1), (1, 1, "update", 2), (1, 2, "insert", 3), (1, 2, "delete", 4), (1, 3, "delete", 5), (1, 3, "read", 6), (2, 1, "read", 1), (2, 2, "insert", 2), (2, 2, "update", 3), (2, 3, "update", 4), (2, 3, "delete", 5)]
+    got = values(mvcc.access_sets(memory.rows(spark, ops, "tx int, rid int, op string, seq int")))
+    assert got == [(1, 1, "update", True), (1, 2, "insert_delete", True), (1, 3, "delete", False), (2, 1, "read", True), (2, 2, "insert", True), (2, 3, "delete", True)]
+
+
+def test_install(spark):
+    versions = memory.rows(spark, [(1, "a", 1, 5), (1, "b", 5, None), (2, "c", 1, None), (3, "d", 1, None), (5, "z", 1, None)], "rid int, value string, begin_ts int, end_ts int")
+    writes = [(1, "update", "B", 10), (1, "update", "BB", 12), (2, "delete", None, 11), (3, "read", None, 9), (4, "insert", "new", 10), (6, "insert_delete", "gone", 10), (4, "delete", None, 13)]
+    got = mvcc.install(versions, memory.rows(spark, writes, "rid int, access string, value string, commit_ts int"))
+    want = [(1, "a", 1, 5), (1, "b", 5, 10), (1, "B", 10, 12), (1, "BB", 12, None), (2, "c", 1, 11), (3, "d", 1, None), (4, "new", 10, 13), (5, "z", 1, None)]
+    memory.assert_same_rows(got, memory.rows(spark, want, got.schema))
+    assert values(mvcc.snapshot(got, F.lit(11)).select("rid", "value")) == [(1, "B"), (3, "d"), (4, "new"), (5, "z")]
+
+
 def test_cascading_abort(spark):
     edges = [(t, d) for t in range(11, 100) for d in range(10)]
     gone = mvcc.cascading_abort(memory.rows(spark, edges, "tx bigint, depends_on bigint"), memory.rows(spark, [(9,)], "tx bigint"))
