@@ -82,8 +82,8 @@ def _possible(a: str, b: str, share: int, of: int, most_bits: int) -> Column:
 
 
 def _divided(placed: DataFrame) -> DataFrame:
-    """Keys of buckets whose members have more than one root."""
-    return placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    """A written table of the keys of buckets whose members have more than one root."""
+    return materialize(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key"), "keys")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     able = materialize(able.filter(of * F.col("sm") >= share * F.col("sn")), "able")
     rest = materialize(divided.join(able, F.col("node") == F.col("s")).drop("node"), "rest")
     # the member with the fewest shingles of its own is nearest to the text the others were made from
-    centre = rest.groupBy("key").agg(F.max_by("s", F.struct(F.col("sm") / F.col("sn"), "s")).alias("centre"))
+    centre = materialize(rest.groupBy("key").agg(F.max_by("s", F.struct(F.col("sm") / F.col("sn"), "s")).alias("centre")), "centres")
     rest = rest.join(centre, "key")
     near = _common(rest.select(F.col("s").alias("a"), F.col("centre").alias("b")).distinct(), sets)
     roots = _merged(roots, _links(near, share, of))
