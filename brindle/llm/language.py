@@ -79,30 +79,37 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> Model:
-    """One-versus-rest kernel ridge regression on Nyström features.
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """Presence rows of packed bits, each divided by its length."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    return x
+
+
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> Model:
+    """One-versus-rest kernel ridge regression on Nyström features, from packed presence bits.
 
     The kernel is normalized: k(x, y) = <x, y> / (|x| |y|). Landmarks L, as many of each class, give
     the features k(x, L) K^(-1/2) with K = k(L, L). As the kernel is a scalar product, a text's output
-    x L' K^(-1/2) B / |x| is one product with the precomputed matrix L' K^(-1/2) B.
+    x L' K^(-1/2) B / |x| is one product with the precomputed matrix L' K^(-1/2) B. Rows are unpacked
+    some at a time, so this takes little memory.
     """
     classes = sorted(set(labels))
     if not classes:
-        return Model([], np.zeros((x.shape[1], 0), np.float32), np.zeros(0, np.float32))
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([classes.index(c) for c in labels])
-    x = x / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
     each = max(1, landmarks // len(classes))
-    marks = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(classes))])
-    lm = x[marks].astype(np.float64)
-    value, vector = np.linalg.eigh(lm @ lm.T)
+    lm = unpacked(bits[np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(classes))])])
+    value, vector = np.linalg.eigh((lm @ lm.T).astype(np.float64))
     keep = value > 1e-6 * max(value.max(), 1e-12)
     root = vector[:, keep] / np.sqrt(value[keep])
-    phi = np.hstack([x @ (lm.T @ root), np.ones((len(x), 1))])
+    phi = np.vstack([unpacked(bits[i : i + ROWS_AT_ONCE]) @ lm.T for i in range(0, len(bits), ROWS_AT_ONCE)]) @ root
+    phi = np.hstack([phi, np.ones((len(phi), 1))])
     target = np.where(y[:, None] == np.arange(len(classes)), 1.0, -1.0)
     balance = 1 / np.bincount(y, minlength=len(classes))[y][:, None]  # each class weighs alike
     gram = phi.T @ (phi * balance) + ridge * np.diag([1.0] * (phi.shape[1] - 1) + [0.0])
     beta = np.linalg.lstsq(gram, phi.T @ (target * balance), rcond=None)[0]
-    return Model(classes, (lm.T @ root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
+    return Model(classes, lm.T @ (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
 
 
 def train(docs: DataFrame, per_class_rows: int = 600, seed: int = 5) -> Model:
@@ -115,8 +122,8 @@ def train(docs: DataFrame, per_class_rows: int = 600, seed: int = 5) -> Model:
     some = per_class(rows, "lang", per_class_rows, seed).select("lang", F.lower("text").alias("text"))
     got = sorted((r["lang"], bytes(r["bits"])) for r in some.mapInArrow(_presence_bits, "lang string, bits binary").collect())
     order = np.random.default_rng(seed).permutation(len(got))
-    x = np.unpackbits(np.frombuffer(b"".join(got[i][1] for i in order), np.uint8).reshape(len(got), -1) if got else np.zeros((0, 1 << BUCKET_BITS >> 3), np.uint8), axis=1)
-    return fit(x.astype(np.float32), [got[i][0] for i in order])
+    bits = np.frombuffer(b"".join(got[i][1] for i in order), np.uint8).reshape(len(got), -1) if got else np.zeros((0, 1 << BUCKET_BITS >> 3), np.uint8)
+    return fit(bits, [got[i][0] for i in order])
 
 
 def language_scorer(model: Model):
