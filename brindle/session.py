@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Written tables that are not released, in order.
+_WRITTEN: list[DataFrame] = []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table.
 
@@ -60,6 +66,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
+    _WRITTEN.append(out)
     return out
 
 
@@ -71,3 +78,19 @@ def release(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             hadoop = jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _WRITTEN[:] = [x for x in _WRITTEN if x is not df]
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Releases what was materialized within the block, but for the tables passed to what it yields."""
+    before, kept = list(_WRITTEN), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        release(*[x for x in list(_WRITTEN) if not any(x is y for y in (*before, *kept))])

@@ -276,3 +276,20 @@ def test_locks_and_levels():
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from brindle.session import materialize, scratch, shared_folder
+
+    def names():
+        return {p.name for p in Path(shared_folder(spark).removeprefix("file://")).iterdir()}
+
+    old = materialize(spark.range(3))
+    before = names()
+    with scratch() as keep:
+        materialize(spark.range(1), "gone")
+        kept = keep(materialize(spark.range(2), "kept"))
+    assert kept.count() == 2 and old.count() == 3
+    assert [n.split("-")[0] for n in names() - before] == ["kept"]
