@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import language, mixing, near_dedup, packing, quality
 from brindle.llm.sizes import measured, word_count
-from brindle.session import materialize, read_table
+from brindle.session import materialize, read_table, release, scratch
 
 #: A language whose probability is below this counts as not recognized.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -66,5 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            done = keep(materialize(stage(spark, docs, sf_dir), name))
+        release(docs)
+        docs = done
     return docs
