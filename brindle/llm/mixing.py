@@ -19,28 +19,43 @@ def place(seed: int, doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def _numbered(totals: DataFrame) -> DataFrame:
+    """Sources with their number in order of code points, null last, from 0.
+
+    The order is made by ranges: a source's number is that within its range plus the sizes of the ranges
+    before, of which there are as many as partitions.
+    """
+    ranged = materialize(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "sources")
+    sizes = sorted((r["range"], r["count"]) for r in ranged.groupBy("range").count().collect())
+    before, rows = 0, [(-1, 0)]
+    for number, count in sizes:
+        rows.append((number, before))
+        before += count
+    offsets = totals.sparkSession.createDataFrame(rows, "range int, before bigint")
+    within = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranged.withColumn("within", within).join(F.broadcast(offsets), "range").select("source", "source_size", (F.col("within") + F.col("before")).alias("number"))
+
+
 def targets(totals: DataFrame, weights: Sequence[float], epochs: int) -> DataFrame:
     """The words wanted of each source: columns source, source_size, target.
 
     ``totals`` has source and source_size. Sources in order of code points, null last, take the
     weights in turn. Water-filling: each takes its weight's share of all words; those above ``epochs``
-    times their size are held there and what they leave is dealt out again by weight. With sources
-    sorted by limit over weight, the held ones come first, so the rounds are one pass of running sums.
-    The table has one row a source, so these windows run in one task over that many rows.
+    times their size are held there and what they leave is dealt out again by weight, in rounds, until
+    none is above. A round is one aggregation over the sources that gives two sums.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    turn = F.pmod(F.col("number"), F.lit(len(weights)))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int"))
-    s = totals.select("source", "source_size", w.alias("w"), (F.col("source_size") * epochs).alias("most"))
-    by_limit = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    s = s.select("*", F.sum("source_size").over(everything).alias("total"), F.sum("most").over(by_limit.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("held"), F.sum("w").over(by_limit.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"))
-    level = (F.col("total") - (F.col("held") - F.col("most"))).cast("double") / F.col("rest")
-    s = s.withColumn("over", F.col("w") * level > F.col("most"))
-    free = F.sum(F.when(F.col("over"), F.lit(0.0)).otherwise(F.col("w"))).over(everything)
-    used = F.sum(F.when(F.col("over"), F.col("most")).otherwise(F.lit(0))).over(everything)
-    level = (F.col("total") - used).cast("double") / free
-    return s.select("source", "source_size", F.when(F.col("over"), F.col("most").cast("double")).otherwise(F.col("w") * level).alias("target"))
+    s = materialize(_numbered(totals).select("source", "source_size", w.alias("w"), (F.col("source_size") * epochs).alias("most")), "weights")
+    total, free = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level, held = (total / free if free else 0.0), 0
+    while True:
+        over = F.col("w") * F.lit(level) > F.col("most")
+        used, free, now = s.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0)), F.count_if(over)).first()
+        if now == held or not free:
+            break
+        level, held = (total - used) / free, now
+    return s.select("source", "source_size", F.when(over, F.col("most").cast("double")).otherwise(F.col("w") * F.lit(level)).alias("target"))
 
 
 def plan(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int = 3, seed: int = 17, digits: int = 3) -> DataFrame:
