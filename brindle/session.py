@@ -34,6 +34,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+#: Rows of a batch that goes to Python. Spark's own default lets a batch of long texts take tens of MB
+#: outside of the heap, several times in each task.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python of at most ``BATCH_ROWS`` rows, where the session has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
