@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import bound_batches
+
 #: Elements below this depth are put beside each other, as browsers do, so recursion is bounded.
 DEEPEST = 150
 #: A cell wider than this doesn't set its column's width.
@@ -443,4 +445,5 @@ def page_texts(pages: DataFrame) -> DataFrame:
     Defined results: a null or empty page has empty texts; each row is read alone, so repeated rows
     repeat; elements nested deeper than ``DEEPEST`` are put beside each other.
     """
+    bound_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_extracted, "page_id bigint, title string, text string, n_items bigint, n_tables bigint, n_chars bigint")

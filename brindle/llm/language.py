@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import text as tx
 from brindle.llm.sample import fold, per_class
+from brindle.session import bound_batches
 
 #: Buckets that n-grams are hashed to, as a power of two.
 BUCKET_BITS = 14
@@ -118,6 +119,7 @@ def train(docs: DataFrame, per_class_rows: int = 600, seed: int = 5) -> Model:
     Only texts with a language, of rows whose crc32(doc_id) mod 5 isn't 0, are used. The executors
     reduce each whole text to one bit a bucket, 2 KB, before the driver gets it.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
     some = per_class(rows, "lang", per_class_rows, seed).select("lang", F.lower("text").alias("text"))
     got = sorted((r["lang"], bytes(r["bits"])) for r in some.mapInArrow(_presence_bits, "lang string, bits binary").collect())

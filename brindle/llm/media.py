@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import text as tx
+from brindle.session import bound_batches
 
 U = np.uint64
 #: Payloads are padded with blanks to a multiple of this.
@@ -633,6 +634,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored_media(docs: DataFrame) -> DataFrame:
     """doc_id and media: the whole UTF-8 text, padded with blanks to a positive multiple of 192 bytes, as a JPEG file."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_store, "doc_id bigint, media binary")
 
 

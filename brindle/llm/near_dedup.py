@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle.llm import sketch as sk
 from brindle.llm import text as tx
 from brindle.llm.components import components
-from brindle.session import materialize, release
+from brindle.session import bound_batches, materialize, release
 
 #: Rows up to which a table of ids is broadcast; each takes about 50 bytes.
 BROADCAST_ROWS = 500_000
@@ -155,6 +155,7 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     if t != 128:
         raise ValueError("low bits are compared as two 64-bit numbers, so t has to be 128")
     most_bits = 40
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("raw"), "text")
     sketched = materialize(base.mapInArrow(_sketched(k, t, rows), _SKETCH).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     some = sketched.filter("n_shingles > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import text as tx
 from brindle.llm.sample import fold
+from brindle.session import bound_batches
 
 #: Names of the features of a text, in order.
 FEATURES = (
@@ -191,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 9) -
     unlabelled ones are any documents. The share of positives among the latter is estimated, not
     given. The executors reduce each whole text to its features before the driver gets it.
     """
+    bound_batches(docs.sparkSession)
     good = labels.filter((F.col("quality") == 1) & (fold(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").alias("_good")).distinct()
     place = lambda c, s: F.pmod(F.xxhash64(F.lit(s), c), F.lit(1 << 30)) / F.lit(1 << 30)
     n_good, n_docs = good.count(), docs.count()

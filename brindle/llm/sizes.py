@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm import text as tx
+from brindle.session import bound_batches
 
 #: What separates words in Spark's regular expressions.
 GAP = r"[\x20\x09-\x0D]+"
@@ -34,4 +35,5 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, and cluster: a hash that texts with the same lower-cased words share."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_measure, "doc_id bigint, source string, size bigint, cluster bigint")

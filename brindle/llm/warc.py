@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import materialize, release, shared_folder
+from brindle.session import bound_batches, materialize, release, shared_folder
 
 #: Payload bytes after which a writer starts another archive.
 ARCHIVE_BYTES = 64 << 20
@@ -237,6 +237,7 @@ def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Only digests are grouped, and only of payloads that occur twice; that table is written, so that a
     payload with a third of all rows is spread by the skew join.
     """
+    bound_batches(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("sha", F.unhex(F.sha1("payload")))
     once = p.filter(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
