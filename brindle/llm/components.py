@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from brindle.session import materialize, release
 
 
+#: Rows up to which a table of ids is broadcast; each takes about 50 bytes.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """Broadcasts a written table if it has few rows; beyond that, joins shuffle and skew is split."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _mark(links: DataFrame) -> tuple[int, int]:
     found = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return found[0], int(found[1] or 0)
@@ -29,11 +38,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "least")
-        large = both.join(least, F.col("u") == F.col("w")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(small(least), F.col("u") == F.col("w")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
         lower = materialize(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "lower")
-        small = large.join(lower, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(small.unionByName(lower.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        fewer = large.join(small(lower), F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(fewer.unionByName(lower.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "links")
         then, old = _mark(after), now
         now = after
         release(old, least, large, lower)

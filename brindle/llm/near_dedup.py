@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm import sketch as sk
 from brindle.llm import text as tx
-from brindle.llm.components import components
+from brindle.llm.components import components, small
 from brindle.session import bound_batches, materialize, release
 
-#: Rows up to which a table of ids is broadcast; each takes about 50 bytes.
-BROADCAST_ROWS = 500_000
 #: Shingles that one call of the sketch handles.
 SHINGLES_AT_ONCE = 1 << 17
 
@@ -62,7 +60,7 @@ def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def side(name: str, size: str, items: str) -> DataFrame:
         wanted = materialize(pairs.select(F.col(name).alias("_node")).distinct(), "side")
-        some = sets.join(_small(wanted), F.col("node") == F.col("_node"), "left_semi")
+        some = sets.join(small(wanted), F.col("node") == F.col("_node"), "left_semi")
         return some.select(F.col("node").alias(name), F.size("items").cast("bigint").alias(size), F.col("items").alias(items))
 
     both = pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b")
@@ -93,11 +91,6 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), "roots")
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """Broadcasts a written table of ids if it is small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int = 128, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``; see ``grouped``."""
     return grouped(docs, k, share, of, t, rows).select("doc_id", "n_shingles", "component_id", "kept")
@@ -117,11 +110,11 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     gone = found.filter("NOT kept").select("doc_id", "raw").unionByName(extra.select("doc_id", "raw")).distinct()
     gone = materialize(gone.select(F.col("doc_id").alias("_brindle_id"), F.col("raw").alias("_brindle_raw")), "gone")
     raw = F.unhex(F.md5("text"))
-    out = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_brindle_id")) & (raw == F.col("_brindle_raw")), "left_anti")
+    out = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_brindle_id")) & (raw == F.col("_brindle_raw")), "left_anti")
     if not several.isEmpty():
         hit = (F.col("doc_id") == F.col("_brindle_id")) & (raw == F.col("_brindle_raw"))
-        once = out.join(_small(several), hit, "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(_small(several), hit, "left_anti").unionByName(once)
+        once = out.join(small(several), hit, "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(small(several), hit, "left_anti").unionByName(once)
     return out
 
 
@@ -170,16 +163,14 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
 
     # full sets of what is in them
     wanted = shared.select("node").distinct()
-    wanted = materialize(held.join(wanted, "node", "left_semi").join(classes.select("node", "again"), "node").select("node", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "again"), "wanted")
-    found = base.join(_small(wanted), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "again", "text")
+    wanted = materialize(held.join(wanted, "node", "left_semi").join(classes.select("node", "again"), "node").select("node", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "again", "n", "bits"), "wanted")
+    found = base.join(small(wanted.drop("n", "bits")), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "again", "text")
     items = found.mapInArrow(_sets(k), "node bigint, again boolean, items array<bigint>")
     items = materialize(items, "items")
     sets = items.filter("NOT again").unionByName(items.filter("again").dropDuplicates(["node"]))
 
-    facts = held.select("node", "n", "bits")
-
     def known(df: DataFrame, side: str) -> DataFrame:
-        return df.join(facts.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("bits").alias(f"{side}bits")), side)
+        return df.join(small(wanted.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("bits").alias(f"{side}bits"))), side)
 
     # everyone against the least of the bucket
     stars = shared.filter("node <> least").select(F.col("node").alias("b"), F.col("least").alias("a")).distinct()
@@ -188,21 +179,21 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     roots = materialize(components(links), "roots")
 
     # the rest of the pairs in buckets that are not yet one component
-    placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    divided = materialize(placed.join(_divided(placed), "key", "left_semi").select("key", "node"), "divided")
+    placed = shared.select("key", "node").join(small(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    divided = materialize(placed.join(small(_divided(placed)), "key", "left_semi").select("key", "node"), "divided")
     own = sets.join(divided.select("node").distinct(), "node", "left_semi")
     alone = own.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(F.count("*").alias("alone"))
     able = known(own.select(F.col("node").alias("s")), "s").join(alone, F.col("s") == F.col("node"), "left").select("s", "sn", "sbits", (F.col("sn") - F.coalesce("alone", F.lit(0))).alias("sm"))
     able = materialize(able.filter(of * F.col("sm") >= share * F.col("sn")), "able")
-    rest = materialize(divided.join(able, F.col("node") == F.col("s")).drop("node"), "rest")
+    rest = materialize(divided.join(small(able), F.col("node") == F.col("s")).drop("node"), "rest")
     # the member with the fewest shingles of its own is nearest to the text the others were made from
     centre = materialize(rest.groupBy("key").agg(F.max_by("s", F.struct(F.col("sm") / F.col("sn"), "s")).alias("centre")), "centres")
-    rest = rest.join(centre, "key")
+    rest = rest.join(small(centre), "key")
     near = _common(rest.select(F.col("s").alias("a"), F.col("centre").alias("b")).distinct(), sets)
     roots = _merged(roots, _links(near, share, of))
-    rest = rest.join(near.select(F.col("a").alias("s"), F.col("b").alias("centre"), F.col("common").alias("sk")), ["s", "centre"])
-    rest = rest.join(roots, F.col("s") == F.col("node"), "left").withColumn("sroot", F.coalesce("root", "s")).drop("node", "root")
-    rest = materialize(rest.join(_divided(rest.withColumnRenamed("sroot", "root")), "key", "left_semi"), "open")
+    rest = rest.join(small(near.select(F.col("a").alias("s"), F.col("b").alias("centre"), F.col("common").alias("sk"))), ["s", "centre"])
+    rest = rest.join(small(roots), F.col("s") == F.col("node"), "left").withColumn("sroot", F.coalesce("root", "s")).drop("node", "root")
+    rest = materialize(rest.join(small(_divided(rest.withColumnRenamed("sroot", "root"))), "key", "left_semi"), "open")
     rest = rest.join(rest.groupBy(F.col("s").alias("t")).agg(F.sort_array(F.collect_set("key")).alias("skeys")), F.col("s") == F.col("t"))
     rest = materialize(rest.select("key", "s", "sroot", "sn", "sm", "sk", "sbits", "skeys"), "open")
     one, two = (rest.select("key", *[F.col(f"s{c}").alias(f"{x}{c}") for c in ("", "root", "n", "m", "k", "bits", "keys")]) for x in "ab")
@@ -210,10 +201,10 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     bound = of * most >= share * (F.col("an") + F.col("bn") - most)
     first = F.array_min(F.array_intersect("akeys", "bkeys")) == one["key"]
     pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & bound & _possible("a", "b", share, of, most_bits) & first)
-    pairs = materialize(pairs.select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.select("a", "b").join(small(stars), ["a", "b"], "left_anti"), "pairs")
     roots = _merged(roots, _links(_common(pairs, sets), share, of))
 
-    names = classes.join(roots, "node", "left").select("raw", "first_id", F.coalesce("root", "node").alias("root"))
+    names = classes.join(small(roots), "node", "left").select("raw", "first_id", F.coalesce("root", "node").alias("root"))
     ids = names.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
     names = materialize(names.join(ids, F.col("root") == F.col("r")).select(F.col("raw").alias("_raw"), "component_id"), "names")
     release(held, least, shared, wanted, items, divided, able, rest)
