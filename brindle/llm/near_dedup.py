@@ -204,9 +204,10 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     pairs = materialize(pairs.select("a", "b").join(small(stars), ["a", "b"], "left_anti"), "pairs")
     roots = _merged(roots, _links(_common(pairs, sets), share, of))
 
-    names = classes.join(small(roots), "node", "left").select("raw", "first_id", F.coalesce("root", "node").alias("root"))
-    ids = names.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
-    names = materialize(names.join(ids, F.col("root") == F.col("r")).select(F.col("raw").alias("_raw"), "component_id"), "names")
+    ids = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialize(roots.join(small(materialize(ids, "ids")), "root").select("node", "component_id"), "named")
+    names = classes.join(small(named), "node", "left").select(F.col("raw").alias("_raw"), F.coalesce("component_id", "first_id").alias("component_id"))
+    names = materialize(names, "names")
     release(held, least, shared, wanted, items, divided, able, rest)
     out = sketched.select("doc_id", "raw", "n_shingles").join(names, (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

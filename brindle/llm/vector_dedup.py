@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.components import components
+from brindle.llm.components import components, small
 from brindle.session import materialize, release
 
 #: Vectors of a block; a task holds two blocks and a matrix of counts between them.
@@ -144,18 +144,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, projections: int = 64
     held = rows.join(classes.select("node", "times"), F.col("uid") == F.col("node")).select("node", "times", "label", "vector")
     held = materialize(held, "held")
     blocks = held.groupBy(F.col("label").alias("_label")).agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias("parts"))
+    blocks = small(materialize(blocks, "parts"))
     part = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts")).cast("int")
     dealt = held.join(blocks, F.col("label") == F.col("_label")).withColumn("part", part)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "times", "vector")
     found = dealt.groupBy("label", "p", "q").applyInArrow(_linked(cosine, projections, least, width, seed), "node bigint, root bigint, links bigint")
     found = materialize(found, "links")
-    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    roots = materialize(components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))), "roots")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "node", "left").join(roots, "node", "left")
-    known = known.select("class", "first_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    names = known.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
-    known = materialize(known.join(names, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "n_links", "component_id"), "names")
+    ids = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialize(roots.join(small(materialize(ids, "ids")), "root").select("node", "component_id"), "named")
+    known = classes.join(links, "node", "left").join(small(named), "node", "left")
+    known = materialize(known.select(F.col("class").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")), "names")
     release(held, found)
     out = rows.select("vec_id", "class").join(known, F.col("class") == F.col("c"), "left")
     component = F.when(F.col("class").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
