@@ -35,15 +35,14 @@ class Bins:
         self.by_residual.setdefault(r, {})[b] = None
         self.mask |= 1 << r
 
-    def fit(self, need: int, source: int, cluster: int) -> int:
+    def fit(self, need: int, source: int, clusters: int) -> int:
         """The compatible bin with the least residual of need or more, the first opened of these; else a new one."""
         source_bit, last = 1 << source, self.per_source - 1
-        cluster_bit = 1 << cluster if cluster >= 0 else 0
         above = self.mask >> need << need
         while above:
             r = (above & -above).bit_length() - 1
             for b in self.by_residual[r]:
-                if not self.sources[b][last] & source_bit and not self.clusters[b] & cluster_bit:
+                if not self.sources[b][last] & source_bit and not self.clusters[b] & clusters:
                     return b
             above &= above - 1
         self.residual.append(self.capacity)
@@ -53,7 +52,7 @@ class Bins:
         self._list(b)
         return b
 
-    def put(self, b: int, need: int, source: int, cluster: int) -> int:
+    def put(self, b: int, need: int, source: int, clusters: int) -> int:
         """Puts a piece into a bin and returns its place there."""
         r = self.residual[b]
         held = self.by_residual[r]
@@ -65,8 +64,7 @@ class Bins:
             if not bits >> source & 1:
                 self.sources[b][level] = bits | 1 << source
                 break
-        if cluster >= 0:
-            self.clusters[b] |= 1 << cluster
+        self.clusters[b] |= clusters
         self.residual[b] = r - need
         if r > need:
             self._list(b)
@@ -77,7 +75,7 @@ def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: in
     """(document, piece, start, length, bin, place) of all pieces, largest remainder first.
 
     Whole capacities are cut off a long document first, each filling a bin of its own; what remains is
-    placed by best fit in descending order. ``clusters`` has a number below 0 for a document without copies.
+    placed by best fit in descending order. ``clusters`` has each document's bitmap of clusters, 0 without copies.
     """
     bins, out = Bins(capacity, per_source), []
     for d, size in enumerate(sizes):
@@ -98,10 +96,17 @@ def _packer(capacity: int, per_source: int):
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
         sizes = table.column("size").to_pylist()
         sources = table.column("source").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1
-        _, number, count = np.unique(table.column("cluster").to_numpy(), return_inverse=True, return_counts=True)
-        rank = np.cumsum(count > 1) - 1
-        clusters = np.where(count[number] > 1, rank[number], -1)
-        found = pack(sizes, sources.tolist(), clusters.tolist(), capacity, per_source)
+        clusters, bit = [0] * len(sizes), 0
+        for name in ("cluster", "doc_id"):  # equal texts, and rows of one document, of which some may be cut
+            rows: dict = {}
+            for i, value in enumerate(table.column(name).to_pylist()):
+                rows.setdefault(value, []).append(i)
+            for value, same in rows.items():
+                if len(same) > 1 and value is not None:
+                    for i in same:
+                        clusters[i] |= 1 << bit
+                    bit += 1
+        found = pack(sizes, sources.tolist(), clusters, capacity, per_source)
         empty = [(d, 0, 0, 0, -1, 0) for d, size in enumerate(sizes) if not size]
         d, piece, start, length, bins, place = np.array(found + empty, np.int64).reshape(-1, 6).T
         shard = table.column("shard")[0].as_py() << 32
@@ -115,7 +120,7 @@ def best_fit(sizes: DataFrame, capacity: int = 2048, per_source: int = 4, shard_
     """Packs all documents into bins of ``capacity`` words.
 
     ``sizes`` is a written table of doc_id, source, size and cluster. A bin takes at most
-    ``per_source`` documents of a source and one of a duplicate cluster. Returns a row for each piece:
+    ``per_source`` documents of a source, one of a duplicate cluster and one row of a doc_id. Returns a row for each piece:
     doc_id, piece, start and length in words, bin_id and place (first word in the bin). A document of
     ``capacity`` or more is cut into whole bins and a remainder.
 

@@ -16,7 +16,7 @@ def slow_pack(sizes, sources, clusters, capacity, per_source):
             out.append((d, piece, piece * capacity, capacity, len(bins) - 1, 0))
     for d in sorted((d for d in range(len(sizes)) if sizes[d] % capacity), key=lambda d: -(sizes[d] % capacity)):
         need = sizes[d] % capacity
-        fit = [(r, opened, i) for i, (r, s, c, opened) in enumerate((b[0], b[1], b[2], b[3] if len(b) > 3 else 0) for b in bins) if r >= need and s.count(sources[d]) < per_source and (clusters[d] < 0 or clusters[d] not in c)]
+        fit = [(r, opened, i) for i, (r, s, c, opened) in enumerate((b[0], b[1], b[2], b[3] if len(b) > 3 else 0) for b in bins) if r >= need and s.count(sources[d]) < per_source and not any(clusters[d] & x for x in c)]
         if fit:
             i = min(fit)[2]
         else:
@@ -37,7 +37,7 @@ def test_the_tightest_compatible_bin():
         n = rng.randrange(0, 120)
         sizes = [rng.randrange(0, 130) for _ in range(n)]
         sources = [rng.choice([0, 0, 0, 1, 2]) for _ in range(n)]
-        clusters = [rng.choice([-1, -1, 0, 1, 2]) for _ in range(n)]
+        clusters = [rng.choice([0, 0, 1, 2, 4, 6]) for _ in range(n)]
         got = packing.pack(sizes, sources, clusters, 50, 2)
         assert got == slow_pack(sizes, sources, clusters, 50, 2)
 
@@ -97,3 +97,10 @@ def test_odd_rows(spark):
 def test_repeated_rows_are_documents_of_their_own(spark):
     got = run(spark, [(1, "a", "x y z")] * 3, capacity=64)
     assert [r["length"] for r in got] == [3] * 3 and len({r["bin_id"] for r in got}) == 3
+
+
+def test_rows_of_one_document_stay_apart(spark):
+    got = run(spark, [(1, "a", "x y z"), (1, "a", "x y"), (2, "b", "u v"), (None, "c", "k"), (None, "c", "l")], capacity=64)
+    bins = [r["bin_id"] for r in got if r["doc_id"] == 1]
+    # rows of one document are packed apart even if they happen to meet in a shard
+    assert len(set(bins)) == 2 and len({r["bin_id"] for r in got}) == 2
