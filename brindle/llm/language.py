@@ -19,7 +19,7 @@ BUCKET_BITS = 14
 #: Longest n-gram, in bytes of UTF-8; shorter ones count too.
 LONGEST = 3
 #: Bytes and texts of one presence matrix.
-BYTES_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 256
+BYTES_AT_ONCE, ROWS_AT_ONCE = 1 << 18, 64
 #: Sharpens the regression's outputs, which are near 1 and -1, to a probability.
 SHARPNESS = 3.0
 

@@ -15,7 +15,7 @@ from brindle.llm.components import components, small
 from brindle.session import bound_batches, materialize, release
 
 #: Shingles that one call of the sketch handles.
-SHINGLES_AT_ONCE = 1 << 17
+SHINGLES_AT_ONCE = 1 << 15
 
 _SKETCH = "doc_id bigint, raw binary, n_shingles bigint, bands array<bigint>, bits array<bigint>"
 

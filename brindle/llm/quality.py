@@ -19,7 +19,7 @@ FEATURES = (
     "log words", "letters", "upper", "digits", "blanks", "line ends", "stops", "marks", "noise", "bars", "other bytes",
     "word length", "distinct words", "repeated neighbours", "second neighbours", "top byte", "noisy words", "loud words", "bare bars", "byte entropy",
 )
-BYTES_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 18
 
 _CLASS = np.full(256, 7)
 _CLASS[[*range(97, 123), *range(65, 91)]] = 0

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from brindle.llm import text as tx
 from brindle.session import bound_batches
 
+#: Bytes whose words are hashed at once.
+BYTES_AT_ONCE = 1 << 18
 #: What separates words in Spark's regular expressions.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -25,12 +27,14 @@ def word_count(text: pa.Array) -> pa.Array:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, at = tx.words(*tx.utf8(batch.column("text")))
-        n = np.diff(at)
-        place = np.arange(len(hashes)) - np.repeat(at[:-1], n)
-        total = np.concatenate([np.zeros(1, tx.U), np.cumsum(tx.mix(hashes ^ tx.mix(place.astype(tx.U))), dtype=tx.U)])
-        cluster = tx.mix(total[at[1:]] - total[at[:-1]] + n.astype(tx.U)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n), pa.array(cluster)], ["doc_id", "source", "size", "cluster"])
+        data, offsets = tx.utf8(batch.column("text"))
+        for a, b in tx.groups(offsets, BYTES_AT_ONCE):
+            hashes, at = tx.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            n = np.diff(at)
+            place = np.arange(len(hashes)) - np.repeat(at[:-1], n)
+            total = np.concatenate([np.zeros(1, tx.U), np.cumsum(tx.mix(hashes ^ tx.mix(place.astype(tx.U))), dtype=tx.U)])
+            cluster = tx.mix(total[at[1:]] - total[at[:-1]] + n.astype(tx.U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("source")[a:b], pa.array(n), pa.array(cluster)], ["doc_id", "source", "size", "cluster"])
 
 
 def measured(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes handled at once; arrays of eight bytes for each stay in the cache.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 #: The bytes that separate words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
