@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 from brindle.session import bound_batches
 
-#: Elements below this depth are put beside each other, as browsers do, so recursion is bounded.
-DEEPEST = 150
 #: A cell wider than this doesn't set its column's width.
 WIDEST = 60
 
@@ -137,20 +136,30 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def tree(source: str) -> Node:
-    """The page's tree, with implied end tags and table rows."""
+    """The page's tree, with implied end tags and table rows. Linear in the length of any input, however deep."""
     root = Node("html")
     stack = [root]
+    open_at = {"html": [0]}  # places in the stack by tag
+
+    def push(node: Node) -> None:
+        open_at.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            open_at[stack.pop().tag].pop()
+
+    def innermost(tags: frozenset) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     def close(tags: frozenset, stops: frozenset) -> None:
         """Closes up to the outermost of the tags that is open within the stops."""
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stops:
-                break
-            if stack[i].tag in tags:
-                found = i
+        found = [places for t in tags if (places := open_at.get(t))]
         if found:
-            del stack[found:]
+            stop = innermost(stops)
+            found = [places[i] for places in found if (i := bisect(places, stop)) < len(places)]
+            if found:
+                cut(min(found))
 
     def add(node: Node) -> None:
         stack[-1].kids.append(node)
@@ -163,16 +172,13 @@ def tree(source: str) -> Node:
             if name == "br":
                 add(Node("br"))
                 continue
-            if name == "p" and not any(x.tag == "p" for x in stack):
+            if name == "p" and not open_at.get("p"):
                 add(Node("p"))
                 continue
             stops = frozenset(["table", "html"]) if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else frozenset() if name in ("table", "body", "html") else _SCOPE
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if stack[i].tag in stops:
-                    break
+            places = open_at.get(name)
+            if places and places[-1] and places[-1] >= innermost(stops):
+                cut(places[-1])
         else:
             if name == "html":
                 continue
@@ -183,11 +189,11 @@ def tree(source: str) -> Node:
             if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 add(row)
-                stack.append(row)
+                push(row)
             node = Node(name, attributes(rest) if rest else None)
             add(node)
-            if name not in VOID and len(stack) < DEEPEST:
-                stack.append(node)
+            if name not in VOID:
+                push(node)
     return root
 
 
@@ -199,11 +205,15 @@ def seen(node: Node) -> bool:
     return not a or not ("hidden" in a or "style" in a and _INVISIBLE.search(a["style"]) or node.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
+#: A line as the blanks it is set in by and its text, so that levels of lists don't copy it.
+Line = tuple[int, str]
+
+
 class Flow:
     """Lines of a block: texts run together with single blanks, blocks start lines, margins collapse."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list[Line] = []
         self.line: list[str] = []
         self.blank = self.gap = self.item = False
 
@@ -217,17 +227,23 @@ class Flow:
             self.line.append(" ".join(words))
             self.blank = s[-1] in " \t\n\r\f"
 
+    def add(self, s: str, pre: bool) -> None:
+        if pre:
+            self.literal(s)
+        elif s:
+            self.text(s)
+
     def end_line(self, always: bool = False) -> None:
         if self.line or always:
-            self.put("".join(self.line))
+            self.put(0, "".join(self.line).replace("\xa0", " ").rstrip())
             self.line = []
         self.blank = False
 
-    def put(self, line: str) -> None:
+    def put(self, by: int, line: str) -> None:
         if self.gap and self.lines:
-            self.lines.append("")
+            self.lines.append((0, ""))
         self.gap = False
-        self.lines.append(line.replace("\xa0", " ").rstrip())
+        self.lines.append((by, line) if line else (0, ""))
 
     def block(self, apart: bool) -> None:
         self.end_line()
@@ -240,24 +256,51 @@ class Flow:
             self.end_line(True)
             self.line.append(x)
 
-    def done(self) -> list[str]:
+    def hang(self, mark: str, lines: list[Line]) -> None:
+        """Puts lines with a mark before the first and the others below its text."""
+        for i, (by, line) in enumerate(lines):
+            if i or not line:
+                self.put(by + len(mark), line)
+            else:
+                self.put(0, mark + " " * by + line)
+
+    def done(self) -> list[Line]:
         self.end_line()
-        while self.lines and not self.lines[-1]:
+        while self.lines and not self.lines[-1][1]:
             self.lines.pop()
         return self.lines
 
 
+#: A step of the walk: it yields the steps that it needs the results of.
+Step = Generator
+
+
+def walk(step: Step) -> object:
+    """Runs a step and those it yields on a stack of its own, so that no depth of a page is too much."""
+    stack, result = [step], None
+    while stack:
+        try:
+            inner = stack[-1].send(result)
+        except StopIteration as e:
+            stack.pop()
+            result = e.value
+        else:
+            stack.append(inner)
+            result = None
+    return result
+
+
 LISTS = frozenset(["ul", "ol", "menu", "dir"])
 
 
-def lines_of(node: Node, pre: bool = False) -> list[str]:
+def lines_of(node: Node, pre: bool = False) -> Step:
     out = Flow()
     out.item = node.tag == "li"
-    flow(node, out, pre)
+    yield flow(node, out, pre)
     return out.done()
 
 
-def listed(node: Node, out: Flow, pre: bool) -> None:
+def listed(node: Node, out: Flow, pre: bool) -> Step:
     """A list: a mark before each item, and its other lines below the first."""
     number = int(node.attrs["start"]) if node.attrs.get("start", "").lstrip("-").isdigit() else 1
     rest = Flow()
@@ -267,14 +310,16 @@ def listed(node: Node, out: Flow, pre: bool) -> None:
                 continue
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = lines_of(kid, pre)
-            for i, line in enumerate(lines):
+            lines = yield lines_of(kid, pre)
+            if lines:
                 rest.end_line()
-                rest.put((mark if not i else " " * len(mark)) + line if line else "")
+            rest.hang(mark, lines)
+        elif isinstance(kid, str):
+            rest.add(kid, pre)
         else:
-            one(kid, rest, pre)
-    for line in rest.done():
-        out.put(line)
+            yield one(kid, rest, pre)
+    for by, line in rest.done():
+        out.put(by, line)
 
 
 def rows_of(node: Node) -> Iterator[Node]:
@@ -291,18 +336,23 @@ def _span(cell: Node, name: str) -> int:
     return min(int(value), 1000) if value.isdigit() and value != "0" else 1
 
 
-def table(node: Node, out: Flow, pre: bool) -> None:
-    """A table: what isn't in a cell first, then rows of cells in columns of their widest line."""
+def strays(node: Node) -> Iterator[Node | str]:
+    """What is in a table and not in a cell."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and kid.tag in ("thead", "tbody", "tfoot", "tr"):
+            if seen(kid):
+                yield from strays(kid)
+        elif not (isinstance(kid, Node) and kid.tag in ("td", "th")):
+            yield kid
 
-    def stray(x: Node) -> None:
-        for kid in x.kids:
-            if isinstance(kid, Node) and kid.tag in ("thead", "tbody", "tfoot", "tr"):
-                if seen(kid):
-                    stray(kid)
-            elif not (isinstance(kid, Node) and kid.tag in ("td", "th")):
-                one(kid, out, pre)
 
-    stray(node)
+def table(node: Node, out: Flow, pre: bool) -> Step:
+    """A table: what isn't in a cell first, then rows of cells in columns of their widest line."""
+    for kid in strays(node):
+        if isinstance(kid, str):
+            out.add(kid, pre)
+        else:
+            yield one(kid, out, pre)
     out.end_line()
     taken: dict[tuple[int, int], None] = {}
     cells: list[list[tuple[int, list[str], int]]] = []
@@ -319,7 +369,7 @@ def table(node: Node, out: Flow, pre: bool) -> None:
                 for y in range(r + 1, r + high):
                     for x in range(column, column + wide):
                         taken[y, x] = None
-            lines = lines_of(kid, pre)
+            lines = [" " * by + line for by, line in (yield lines_of(kid, pre))]
             here.append((column, lines, wide))
             if wide == 1:
                 width[column] = max([width.get(column, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
@@ -336,17 +386,11 @@ def table(node: Node, out: Flow, pre: bool) -> None:
                 if i < len(lines) and lines[i]:
                     line = line.ljust(place[column]) if not line or len(line) + 2 <= place[column] else f"{line}  "
                     line += lines[i]
-            out.put(line)
+            out.put(0, line)
 
 
-def one(kid: Node | str, out: Flow, pre: bool) -> None:
-    """Adds a child to the flow."""
-    if isinstance(kid, str):
-        if pre:
-            out.literal(kid)
-        elif kid:
-            out.text(kid)
-        return
+def one(kid: Node, out: Flow, pre: bool) -> Step:
+    """Adds an element to the flow."""
     if not seen(kid):
         return
     tag = kid.tag
@@ -359,39 +403,41 @@ def one(kid: Node | str, out: Flow, pre: bool) -> None:
         apart = tag in APART and not (out.item and tag in LISTS)  # a list in an item stands close
         out.block(apart)
         if tag in LISTS:
-            listed(kid, out, pre)
+            yield listed(kid, out, pre)
         elif tag == "table":
-            table(kid, out, pre)
+            yield table(kid, out, pre)
         elif tag in ("blockquote", "dd"):
-            for line in lines_of(kid, pre):
-                out.put("  " + line if line else "")
+            for by, line in (yield lines_of(kid, pre)):
+                out.put(by + 2, line)
         elif tag in ("pre", "xmp", "listing"):
             inner = Flow()
-            flow(kid, inner, True)
+            yield flow(kid, inner, True)
             lines = inner.done()
-            for line in lines[1:] if lines and not lines[0] else lines:
-                out.put(line)
+            for by, line in lines[1:] if lines and not lines[0][1] else lines:
+                out.put(by, line)
         elif tag == "li":
-            for i, line in enumerate(lines_of(kid, pre)):
-                out.put(("- " if not i else "  ") + line if line else "")
+            out.hang("- ", (yield lines_of(kid, pre)))
         else:
-            flow(kid, out, pre)
+            yield flow(kid, out, pre)
         out.block(apart)
     elif tag in ("td", "th"):
         out.text(" ")
-        flow(kid, out, pre)
+        yield flow(kid, out, pre)
         out.text(" ")
     elif tag == "textarea":
         out.block(False)
         out.literal("".join(k for k in kid.kids if isinstance(k, str)).removeprefix("\n"))
         out.block(False)
     else:
-        flow(kid, out, pre)
+        yield flow(kid, out, pre)
 
 
-def flow(node: Node, out: Flow, pre: bool) -> None:
+def flow(node: Node, out: Flow, pre: bool) -> Step:
     for kid in node.kids:
-        one(kid, out, pre)
+        if isinstance(kid, str):
+            out.add(kid, pre)
+        else:
+            yield one(kid, out, pre)
 
 
 def _find(node: Node, tag: str) -> Node | None:
@@ -420,7 +466,7 @@ def extract(source: str | None) -> tuple[str, str, int, int]:
     root = tree(source)
     title = _find(root, "title")
     name = " ".join("".join(k for k in title.kids if isinstance(k, str)).split()) if title else ""
-    return name, "\n".join(lines_of(root)).strip("\n"), _count(root, frozenset(["li"])), _count(root, frozenset(["table"]))
+    return name, "\n".join(" " * by + line for by, line in walk(lines_of(root))).strip("\n"), _count(root, frozenset(["li"])), _count(root, frozenset(["table"]))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +489,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     columns, and preformatted text keeps its blanks. No text that is shown is dropped, wherever it stands.
 
     Defined results: a null or empty page has empty texts; each row is read alone, so repeated rows
-    repeat; elements nested deeper than ``DEEPEST`` are put beside each other.
+    repeat; elements count at any depth, and each list or quote around a line sets it in further.
     """
     bound_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_extracted, "page_id bigint, title string, text string, n_items bigint, n_tables bigint, n_chars bigint")

@@ -94,6 +94,22 @@ def test_time_is_linear():
         extract(source)
 
 
+@pytest.mark.parametrize("before", ["<div>" * 200, "<b>" * 5000, "<a name=x>" * 200, "<div><span>" * 30000])
+def test_no_depth_is_too_much(before):
+    for source, text in {
+        "a<script>var no;</script><style>p{}</style>b": "ab",
+        "a<template><p>no</template><noscript><b>no</b></noscript>b": "ab",
+        "a<span hidden>no<i>no</i></span><div style='display:none'>no<div>no</div>no</div>b": "ab",
+        "<div hidden><div><p>no</div>no</div>yes": "yes",
+        "<ul><li>a<li>b<ol><li>c</ol></ul>": "- a\n- b\n  1. c",
+        "<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>": "a    bb\nccc  d",
+        "<pre>a  b</pre>": "a  b",
+    }.items():
+        assert extract(before + source)[1] == text
+    assert extract(before + "<ul><li>a<li hidden>b</ul><table><tr><td>c</table>")[2:] == (1, 1)
+    assert extract("<ul><li>" * 300 + "x<p>y") == ("", "- " * 300 + "x\n\n" + "  " * 300 + "y", 300, 0)
+
+
 def test_wide_cells_do_not_widen_a_table():
     wide = "w" * 5000
     text = extract("<table>" + f"<tr><td>{wide}<td>b" + "<tr><td>a<td>b" * 100 + "</table>")[1]
