@@ -7,6 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.components import small
+from brindle.llm.near_dedup import grouped
+from brindle.llm.sizes import word_count
+from brindle.session import materialize
+
 #: Documents of a shard, which one task packs; its memory is bounded by this.
 SHARD_DOCS = 4096
 
@@ -116,10 +121,26 @@ def _packer(capacity: int, per_source: int):
     return run
 
 
+def clustered(docs: DataFrame) -> DataFrame:
+    """A written table of doc_id, source, size in words and cluster, as ``best_fit`` takes it.
+
+    cluster is the component of near duplicates (see ``near_dedup.grouped``), so that exact and near
+    copies share it; rows without a doc_id, too, by a hash of their text in its place. A text without
+    words has none.
+    """
+    named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("doc_id"), "text")
+    names = grouped(named).filter("n_shingles > 0").groupBy(F.col("raw").alias("_raw")).agg(F.min("component_id").alias("cluster"))
+    names = materialize(names, "names")
+    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.unhex(F.md5("text")).alias("raw"))
+    sizes = materialize(sizes, "sizes")
+    return materialize(sizes.join(small(names), F.col("raw") == F.col("_raw"), "left").select("doc_id", "source", "size", "cluster"), "clustered")
+
+
 def best_fit(sizes: DataFrame, capacity: int = 2048, per_source: int = 4, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
     """Packs all documents into bins of ``capacity`` words.
 
-    ``sizes`` is a written table of doc_id, source, size and cluster. A bin takes at most
+    ``sizes`` is a written table of doc_id, source, size and cluster: ``clustered`` has those of near
+    duplicates, ``sizes.measured`` of exact copies only, which is enough after near-duplicate removal. A bin takes at most
     ``per_source`` documents of a source, one of a duplicate cluster and one row of a doc_id. Returns a row for each piece:
     doc_id, piece, start and length in words, bin_id and place (first word in the bin). A document of
     ``capacity`` or more is cut into whole bins and a remainder.

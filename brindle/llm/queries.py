@@ -67,7 +67,7 @@ def op9_quality_classifier(spark, d):
 @query()
 def op4_best_fit_packing(spark, d):
     """All documents packed into sequences of 2048 words."""
-    return packing.best_fit(materialize(measured(read_table(spark, d, "documents")), "sizes"))
+    return packing.best_fit(packing.clustered(read_table(spark, d, "documents")))
 
 
 MIXING_SQL = r"""

@@ -104,3 +104,17 @@ def test_rows_of_one_document_stay_apart(spark):
     bins = [r["bin_id"] for r in got if r["doc_id"] == 1]
     # rows of one document are packed apart even if they happen to meet in a shard
     assert len(set(bins)) == 2 and len({r["bin_id"] for r in got}) == 2
+
+
+def test_near_copies_are_in_different_bins(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i if i % 4 else None, f"s{i}", " ".join(words[:i] + ["x"] + words[i + 1 :])) for i in range(25)]
+    rows += [(100 + i, "t", " ".join(rng.choices("abcdefgh", k=40))) for i in range(25)] + [(200, "u", None), (201, "u", " ")]
+    sizes = packing.clustered(spark.createDataFrame([(d, s, t, 1, "x") for d, s, t in rows], SCHEMA))
+    got = sizes.collect()
+    assert sorted((r["doc_id"] or 0, r["source"], r["size"]) for r in got) == sorted((d or 0, s, len((t or "").split())) for d, s, t in rows)
+    assert len({r["cluster"] for r in got if r["source"][0] == "s"}) == 1
+    assert len({r["cluster"] for r in got if r["source"] == "t"}) == 25
+    packed = packing.best_fit(sizes, capacity=400).filter("length = 60").collect()
+    assert len(packed) == len({r["bin_id"] for r in packed}) == 25
