@@ -487,6 +487,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
     ``hidden``, ``display: none`` and ``visibility: hidden``. Blocks start lines, paragraphs, headings,
     lists and tables stand apart by a blank line, items have marks and hang below them, cells stand in
     columns, and preformatted text keeps its blanks. No text that is shown is dropped, wherever it stands.
+    Cells are aligned on lines of up to ``WIDEST`` characters; a longer one is kept whole and doesn't set its
+    column's width, so the cells after it in its row stand two blanks behind it and not below the others.
 
     Defined results: a null or empty page has empty texts; each row is read alone, so repeated rows
     repeat; elements count at any depth, and each list or quote around a line sets it in further.
