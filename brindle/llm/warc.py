@@ -24,9 +24,8 @@ from brindle.session import bound_batches, materialize, release, shared_folder
 
 #: Payload bytes after which a writer starts another archive.
 ARCHIVE_BYTES = 64 << 20
-#: Bytes read or inflated at once, and the most that a record's header may have.
+#: Bytes read or inflated at once.
 CHUNK = 1 << 20
-HEADER_LIMIT = 1 << 16
 #: The date of records, fixed so that archives are alike in each run.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -107,8 +106,9 @@ def normalize(read: Callable[[int], bytes], write: Callable[[bytes], object], le
     """Rewrites a WARC file so that each record is a gzip member of its own.
 
     ``read`` gives the bytes of a file that may be one gzip stream from first to last record, or have
-    members anywhere; it is inflated once, and a record is passed on in pieces, so memory doesn't depend
-    on its length. Returns offset, length, id and type of each record.
+    members anywhere; it is inflated once, and a record's block is passed on in pieces, so memory doesn't
+    depend on its length. A header is held whole, however long its URL. Returns offset, length, id and
+    type of each record.
     """
     pieces, held, at = inflated(read), b"", 0
     index, offset = [], 0
@@ -122,12 +122,18 @@ def normalize(read: Callable[[int], bytes], write: Callable[[bytes], object], le
         return True
 
     while at < len(held) or fill():
-        while (end := held.find(b"\r\n\r\n", at)) < 0:
-            if len(held) - at > HEADER_LIMIT or not fill():
+        while not held.startswith(b"WARC/", at) and len(held) - at < 5 and fill():
+            pass
+        if not held.startswith(b"WARC/", at):
+            raise ValueError("not a WARC record")
+        looked = at
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(len(held) - at - 3, 0)  # from where the header starts, which fill() moves to 0
+            if not fill():
                 raise ValueError("a record's header has no end")
         head = held[at : end + 4]
         f = fields(head)
-        if not head.startswith(b"WARC/") or not f.get("content-length", "").isdigit():
+        if not f.get("content-length", "").isdigit():
             raise ValueError("not a WARC record")
         left, at = int(f["content-length"]) + 4, end + 4
         z, length, last = zlib.compressobj(level, zlib.DEFLATED, 31), 0, b""

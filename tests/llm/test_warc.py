@@ -47,6 +47,16 @@ def test_broken_streams():
     assert normalized(gzip.compress(b"")) == ([], b"")
 
 
+def test_long_urls(monkeypatch):
+    urls = ["http://x/" + "é" * n for n in (1, 33_000, 70_000, 400_000, 2)]
+    data = gzip.compress(b"".join(warc.record(i, u, b"abc", None, False) for i, u in enumerate(urls)))
+    for chunk in (5000, 1 << 20):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        index, out = normalized(data)
+        got = [warc.parse(zlib.decompress(out[o : o + n], 31)) for o, n, _, _ in index]
+        assert [(g[0], len(g[1]), g[6]) for g in got] == [(i, 9 + 6 * (len(u) - 9), True) for i, u in enumerate(urls)]
+
+
 def brute(rows, least):
     first = {}
     for i, _, h in rows:
