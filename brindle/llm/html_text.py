@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Generator, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from brindle.session import bound_batches
 
-#: A cell wider than this doesn't set its column's width.
-WIDEST = 60
+#: Blanks that a table may be padded with, for each character of its text, besides ``SPARE``. Beyond that its
+#: widest columns are narrowed, and what follows a cell that is wider goes to a line below.
+BLANKS, SPARE = 4, 2000
+#: Fixed values of the standard: the most columns and rows that a cell spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
@@ -26,6 +30,7 @@ BLOCK = APART | frozenset("address article aside body center details dialog dd d
 #: What a start tag closes, and what it doesn't look beyond.
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 _SCOPE = frozenset("table td th caption template html".split())
+_SECTION = frozenset("thead tbody tfoot caption tr td th".split())
 _IMPLIED = {
     "li": (frozenset(["li"]), _SCOPE | frozenset(["ul", "ol", "menu", "dir"])),
     "dd": (frozenset(["dd", "dt"]), _SCOPE | frozenset(["dl"])),
@@ -37,17 +42,25 @@ _IMPLIED = {
     "td": (frozenset(["td", "th", "caption"]), frozenset(["tr", "table", "html"])),
     "th": (frozenset(["td", "th", "caption"]), frozenset(["tr", "table", "html"])),
     "tr": (frozenset(["tr", "td", "th", "caption"]), frozenset(["table", "thead", "tbody", "tfoot", "html"])),
-    "thead": (frozenset(["thead", "tbody", "tfoot", "caption"]), frozenset(["table", "html"])),
-    "tbody": (frozenset(["thead", "tbody", "tfoot", "caption"]), frozenset(["table", "html"])),
-    "tfoot": (frozenset(["thead", "tbody", "tfoot", "caption"]), frozenset(["table", "html"])),
+    "thead": (_SECTION, frozenset(["table", "html"])),
+    "tbody": (_SECTION, frozenset(["table", "html"])),
+    "tfoot": (_SECTION, frozenset(["table", "html"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
+#: What may stand in a head; anything else, and text, ends it.
+_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Fixed values of the standard: HTML elements that end the pictures and formulas around them.
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Elements with rules of their own, and those within them that hold HTML again.
+_FOREIGN, _HOSTS = frozenset(["svg", "math"]), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_TELLING = re.compile(r"hidden|style|span|type|start", re.I)
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_TELLING = re.compile(r"hidden|style|span|type|start|open", re.I)
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'>=]*/$")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -61,8 +74,13 @@ class Node:
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, rest): text, start with its attributes, or end. Linear in the length of any input."""
+    """(kind, name, rest): text, start with its attributes, single (a start without content), or end.
+
+    Linear in the length of any input. A slash at the end of a tag counts only within pictures and
+    formulas, where the content of scripts and the like is markup.
+    """
     at, n, raw = 0, len(source), ""
+    inside: list[str] = []  # pictures, formulas and what holds HTML in them
     missing = set()  # quotes that don't occur any more
     while at < n:
         if raw:
@@ -118,12 +136,24 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
         name = m.group().lower()
         at = i + 1
         if closing:
+            if inside and name in inside[-2:]:
+                while inside.pop() != name:
+                    pass
             yield "end", name, ""
-        else:
-            rest = source[m.end() : i]
-            yield "start", name, rest
-            if name in RAW and not rest.endswith("/"):
-                raw = name
+            continue
+        rest = source[m.end() : i]
+        if inside and inside[-1] in _FOREIGN and name in _BREAKS_OUT:
+            yield "end", inside[0], ""
+            inside.clear()
+        foreign = bool(inside) and inside[-1] in _FOREIGN
+        if (foreign or name in _FOREIGN) and rest.endswith("/") and not _BARE_VALUE.search(rest):
+            yield "single", name, rest
+            continue
+        yield "start", name, rest
+        if name in _FOREIGN or foreign and name in _HOSTS:
+            inside.append(name)
+        elif name in RAW and not foreign:
+            raw = name
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -165,8 +195,12 @@ def tree(source: str) -> Node:
         stack[-1].kids.append(node)
 
     paragraph = frozenset(["p"])
+    started = False  # whether a head or anything after it has begun
     for kind, name, rest in tokens(source):
+        if stack[-1].tag == "head" and (rest.strip(" \t\n\r\f") if kind == "text" else name in ("body", "html", "br") if kind == "end" else name not in _HEAD):
+            cut(len(stack) - 1)
         if kind == "text":
+            started = started or bool(rest.strip(" \t\n\r\f"))
             stack[-1].kids.append(rest if name in ("script", "style", "xmp") or "&" not in rest else html.unescape(rest))
         elif kind == "end":
             if name == "br":
@@ -180,8 +214,9 @@ def tree(source: str) -> Node:
             if places and places[-1] and places[-1] >= innermost(stops):
                 cut(places[-1])
         else:
-            if name == "html":
+            if name == "html" or name == "head" and started:
                 continue
+            started = True
             if name in _CLOSES_P:
                 close(paragraph, _SCOPE)
             if name in _IMPLIED:
@@ -192,17 +227,29 @@ def tree(source: str) -> Node:
                 push(row)
             node = Node(name, attributes(rest) if rest else None)
             add(node)
-            if name not in VOID:
+            if kind == "start" and name not in VOID:
                 push(node)
     return root
 
 
 def seen(node: Node) -> bool:
-    """Whether an element is shown, by its name, ``hidden`` and its style."""
-    if node.tag in UNSEEN:
+    """Whether an element takes part in the layout, by its name, ``hidden`` and its style."""
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in node.attrs:
         return False
     a = node.attrs
-    return not a or not ("hidden" in a or "style" in a and _INVISIBLE.search(a["style"]) or node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return not a or not ("hidden" in a or "style" in a and _GONE.search(a["style"]) or node.tag == "input" and a.get("type", "").lower() == "hidden")
+
+
+#: How text is shown, as bits: preformatted, and invisible, which an element within can take back.
+PRE, INVISIBLE = 1, 2
+
+
+def mode_in(node: Node, mode: int) -> int:
+    """How the text of an element is shown, given that of the element around it."""
+    found = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    if not found or found[-1].lower() not in ("hidden", "collapse", "visible", "initial"):
+        return mode
+    return mode | INVISIBLE if found[-1].lower() in ("hidden", "collapse") else mode & ~INVISIBLE
 
 
 #: A line as the blanks it is set in by and its text, so that levels of lists don't copy it.
@@ -227,8 +274,10 @@ class Flow:
             self.line.append(" ".join(words))
             self.blank = s[-1] in " \t\n\r\f"
 
-    def add(self, s: str, pre: bool) -> None:
-        if pre:
+    def add(self, s: str, mode: int) -> None:
+        if mode & INVISIBLE:
+            return
+        if mode & PRE:
             self.literal(s)
         elif s:
             self.text(s)
@@ -293,16 +342,16 @@ def walk(step: Step) -> object:
 LISTS = frozenset(["ul", "ol", "menu", "dir"])
 
 
-def lines_of(node: Node, pre: bool = False) -> Step:
+def lines_of(node: Node, mode: int = 0) -> Step:
     out = Flow()
     out.item = node.tag == "li"
-    yield flow(node, out, pre)
+    yield flow(node, out, mode_in(node, mode))
     return out.done()
 
 
-def listed(node: Node, out: Flow, pre: bool) -> Step:
+def listed(node: Node, out: Flow, mode: int) -> Step:
     """A list: a mark before each item, and its other lines below the first."""
-    number = int(node.attrs["start"]) if node.attrs.get("start", "").lstrip("-").isdigit() else 1
+    number = int(node.attrs["start"]) if node.attrs.get("start", "").removeprefix("-").isdecimal() else 1
     rest = Flow()
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "li":
@@ -310,134 +359,229 @@ def listed(node: Node, out: Flow, pre: bool) -> Step:
                 continue
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = yield lines_of(kid, pre)
+            lines = yield lines_of(kid, mode)
             if lines:
                 rest.end_line()
             rest.hang(mark, lines)
         elif isinstance(kid, str):
-            rest.add(kid, pre)
+            rest.add(kid, mode)
         else:
-            yield one(kid, rest, pre)
+            yield one(kid, rest, mode)
     for by, line in rest.done():
         out.put(by, line)
 
 
-def rows_of(node: Node) -> Iterator[Node]:
-    for kid in node.kids:
-        if isinstance(kid, Node) and seen(kid):
+def rows_of(node: Node, mode: int) -> Iterator[tuple[int, Node, int]]:
+    """The rows of a table: the number of their group, which no cell spans beyond, the row, and how its text is shown."""
+    group = 0
+    todo = [(node, iter(node.kids), mode)]
+    while todo:
+        within, kids, mode = todo[-1]
+        kid = next(kids, None)
+        if kid is None:
+            todo.pop()
+            group += 1
+        elif isinstance(kid, Node) and seen(kid):
             if kid.tag == "tr":
-                yield kid
+                yield group, kid, mode_in(kid, mode)
             elif kid.tag in ("thead", "tbody", "tfoot"):
-                yield from rows_of(kid)
+                group += 1
+                todo.append((kid, iter(kid.kids), mode_in(kid, mode)))
 
 
-def _span(cell: Node, name: str) -> int:
-    value = cell.attrs.get(name, "")
-    return min(int(value), 1000) if value.isdigit() and value != "0" else 1
+def _span(cell: Node, name: str, most: int) -> int:
+    """What a cell spans; a rowspan of 0 goes to the end of the group."""
+    value = cell.attrs.get(name, "").strip()
+    if not value.isdecimal():
+        return 1
+    n = int(value[:9])
+    return min(n, most) if n else most if name == "rowspan" else 1
 
 
-def strays(node: Node) -> Iterator[Node | str]:
-    """What is in a table and not in a cell."""
-    for kid in node.kids:
-        if isinstance(kid, Node) and kid.tag in ("thead", "tbody", "tfoot", "tr"):
+def strays(node: Node, mode: int) -> Iterator[tuple[Node | str, int]]:
+    """What is in a table and not in a cell, and how its text is shown."""
+    todo = [(iter(node.kids), mode)]
+    while todo:
+        kids, mode = todo[-1]
+        kid = next(kids, None)
+        if kid is None:
+            todo.pop()
+        elif isinstance(kid, Node) and kid.tag in ("thead", "tbody", "tfoot", "tr"):
             if seen(kid):
-                yield from strays(kid)
+                todo.append((iter(kid.kids), mode_in(kid, mode)))
         elif not (isinstance(kid, Node) and kid.tag in ("td", "th")):
-            yield kid
+            yield kid, mode
+
+
+#: A cell: its first column, the one after its last, and its lines.
+Cell = tuple[int, int, list[str]]
+
 
+class Grid:
+    """Which columns the cells of rows above still take, as ranges, so that spans of any size cost nothing."""
 
-def table(node: Node, out: Flow, pre: bool) -> Step:
+    def __init__(self) -> None:
+        self.group, self.row = -1, 0
+        self.taken: list[tuple[int, int, int]] = []  # first column, end, last row; by first column
+
+    def start(self, group: int) -> None:
+        """Begins a row."""
+        if group != self.group:
+            self.group, self.taken = group, []
+        self.row += 1
+        self.taken = [x for x in self.taken if x[2] >= self.row]
+        self.column, self.at, self.new = 0, 0, []
+
+    def place(self, wide: int, high: int) -> int:
+        """The column of the row's next cell."""
+        while self.at < len(self.taken) and self.taken[self.at][0] <= self.column:
+            self.column = max(self.column, self.taken[self.at][1])
+            self.at += 1
+        column = self.column
+        self.column += wide
+        if high > 1:
+            last = self.row + high - 1
+            if self.new and self.new[-1][1:] == (column, last):
+                self.new[-1] = (self.new[-1][0], self.column, last)
+            else:
+                self.new.append((column, self.column, last))
+        return column
+
+    def end(self) -> None:
+        """Ends a row."""
+        if self.new:
+            self.taken = sorted(self.taken + self.new)
+
+
+def _places(cells: list[tuple[int, int, int]], most: int) -> dict[int, int]:
+    """Where columns begin, so that each cell (end, first column, width up to ``most``) and two blanks fit in before the column at its end."""
+    place, at, seen = {}, 0, 0
+    starts = sorted({first for _, first, _ in cells})
+    for end, first, wide in cells:  # by end
+        while seen < len(starts) and starts[seen] < end:
+            place[starts[seen]] = at
+            seen += 1
+        at = max(at, place[first] + min(wide, most) + 2)
+    return place
+
+
+def _segments(row: list[Cell], i: int, place: dict[int, int]) -> Iterator[list[tuple[int, str]]]:
+    """The i-th line of a row's cells, as lines of (place, text): a cell that its neighbour's text reaches over stands below."""
+    line, end = [], 0
+    for first, _, lines in row:
+        if i < len(lines) and lines[i]:
+            at = place[first]
+            if line and at < end + 2:
+                yield line
+                line = []
+            line.append((at, lines[i]))
+            end = at + len(lines[i])
+    if line:
+        yield line
+
+
+def aligned(rows: list[list[Cell]]) -> Iterator[str]:
+    """Lines of a table whose cells stand in columns of their widest line."""
+    high = [max((len(lines) for _, _, lines in row), default=0) for row in rows]
+    cells = sorted((end, first, max(map(len, lines), default=0)) for row in rows for first, end, lines in row)
+    bound = SPARE + BLANKS * sum(len(x) for row in rows for _, _, lines in row for x in lines)
+    most = max((wide for _, _, wide in cells), default=0)
+    while True:
+        place = _places(cells, most)
+        blanks = sum(line[-1][0] for row, n in zip(rows, high, strict=True) for i in range(n) for line in _segments(row, i, place))
+        if blanks <= bound or not most:
+            break
+        most //= 2
+    for row, n in zip(rows, high, strict=True):
+        for i in range(n):
+            if blanks > bound:  # even narrow columns are too many for the text in them: cells stand two blanks apart
+                yield "  ".join(lines[i] for _, _, lines in row if i < len(lines) and lines[i])
+                continue
+            for parts in _segments(row, i, place):
+                line, end = [], 0
+                for at, text in parts:
+                    line += [" " * (at - end), text]
+                    end = at + len(text)
+                yield "".join(line)
+
+
+def table(node: Node, out: Flow, mode: int) -> Step:
     """A table: what isn't in a cell first, then rows of cells in columns of their widest line."""
-    for kid in strays(node):
+    for kid, how in strays(node, mode):
         if isinstance(kid, str):
-            out.add(kid, pre)
+            out.add(kid, how)
         else:
-            yield one(kid, out, pre)
+            yield one(kid, out, how)
     out.end_line()
-    taken: dict[tuple[int, int], None] = {}
-    cells: list[list[tuple[int, list[str], int]]] = []
-    width: dict[int, int] = {}
-    for r, row in enumerate(rows_of(node)):
-        column, here = 0, []
+    grid = Grid()
+    rows: list[list[Cell]] = []
+    for group, row, how in rows_of(node, mode):
+        here = []
+        grid.start(group)
         for kid in row.kids:
             if not (isinstance(kid, Node) and kid.tag in ("td", "th") and seen(kid)):
                 continue
-            while (r, column) in taken:
-                column += 1
-            wide, high = _span(kid, "colspan"), _span(kid, "rowspan")
-            if high > 1:
-                for y in range(r + 1, r + high):
-                    for x in range(column, column + wide):
-                        taken[y, x] = None
-            lines = [" " * by + line for by, line in (yield lines_of(kid, pre))]
-            here.append((column, lines, wide))
-            if wide == 1:
-                width[column] = max([width.get(column, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
-            column += wide
-        cells.append(here)
-    place, at = {}, 0
-    for column in range(1 + max((c + w for row in cells for c, _, w in row), default=0)):
-        place[column] = at
-        at += width.get(column, 0) + 2 if column in width else 0
-    for here in cells:
-        for i in range(max((len(lines) for _, lines, _ in here), default=0)):
-            line = ""
-            for column, lines, _ in here:
-                if i < len(lines) and lines[i]:
-                    line = line.ljust(place[column]) if not line or len(line) + 2 <= place[column] else f"{line}  "
-                    line += lines[i]
-            out.put(0, line)
-
-
-def one(kid: Node, out: Flow, pre: bool) -> Step:
+            wide, high = _span(kid, "colspan", MOST_COLUMNS), _span(kid, "rowspan", MOST_ROWS)
+            column = grid.place(wide, high)
+            lines = [" " * by + line for by, line in (yield lines_of(kid, how))]
+            here.append((column, column + wide, lines))
+        grid.end()
+        rows.append(here)
+    for line in aligned(rows):
+        out.put(0, line)
+
+
+def one(kid: Node, out: Flow, mode: int) -> Step:
     """Adds an element to the flow."""
     if not seen(kid):
         return
     tag = kid.tag
+    mode = mode_in(kid, mode)
     if tag == "br":
         out.end_line(True)
     elif tag == "input":
-        if kid.attrs.get("type", "").lower() in ("submit", "button", "reset") and kid.attrs.get("value"):
+        if kid.attrs.get("type", "").lower() in ("submit", "button", "reset") and kid.attrs.get("value") and not mode & INVISIBLE:
             out.text(f" {kid.attrs['value']} ")
     elif tag in BLOCK:
         apart = tag in APART and not (out.item and tag in LISTS)  # a list in an item stands close
         out.block(apart)
         if tag in LISTS:
-            yield listed(kid, out, pre)
+            yield listed(kid, out, mode)
         elif tag == "table":
-            yield table(kid, out, pre)
+            yield table(kid, out, mode)
         elif tag in ("blockquote", "dd"):
-            for by, line in (yield lines_of(kid, pre)):
+            for by, line in (yield lines_of(kid, mode)):
                 out.put(by + 2, line)
         elif tag in ("pre", "xmp", "listing"):
             inner = Flow()
-            yield flow(kid, inner, True)
+            yield flow(kid, inner, mode | PRE)
             lines = inner.done()
             for by, line in lines[1:] if lines and not lines[0][1] else lines:
                 out.put(by, line)
         elif tag == "li":
-            out.hang("- ", (yield lines_of(kid, pre)))
+            out.hang("- ", (yield lines_of(kid, mode)))
         else:
-            yield flow(kid, out, pre)
+            yield flow(kid, out, mode)
         out.block(apart)
     elif tag in ("td", "th"):
         out.text(" ")
-        yield flow(kid, out, pre)
+        yield flow(kid, out, mode)
         out.text(" ")
     elif tag == "textarea":
         out.block(False)
-        out.literal("".join(k for k in kid.kids if isinstance(k, str)).removeprefix("\n"))
+        if not mode & INVISIBLE:
+            out.literal("".join(k for k in kid.kids if isinstance(k, str)).removeprefix("\n"))
         out.block(False)
     else:
-        yield flow(kid, out, pre)
+        yield flow(kid, out, mode)
 
 
-def flow(node: Node, out: Flow, pre: bool) -> Step:
+def flow(node: Node, out: Flow, mode: int) -> Step:
     for kid in node.kids:
         if isinstance(kid, str):
-            out.add(kid, pre)
+            out.add(kid, mode)
         else:
-            yield one(kid, out, pre)
+            yield one(kid, out, mode)
 
 
 def _find(node: Node, tag: str) -> Node | None:
@@ -451,12 +595,13 @@ def _find(node: Node, tag: str) -> Node | None:
 
 
 def _count(node: Node, tags: frozenset) -> int:
-    n, todo = 0, [node]
+    n, todo = 0, [(node, 0)]
     while todo:
-        x = todo.pop()
+        x, mode = todo.pop()
         if seen(x):
-            n += x.tag in tags
-            todo += [k for k in x.kids if isinstance(k, Node)]
+            mode = mode_in(x, mode)
+            n += x.tag in tags and not mode & INVISIBLE
+            todo += [(k, mode) for k in x.kids if isinstance(k, Node)]
     return n
 
 
@@ -482,16 +627,22 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, title, text, n_items, n_tables and n_chars of each page.
 
-    A tree builder applies implied end tags (paragraphs, list items, table parts) and passes over
-    broken markup as browsers do. What is not shown is left out: head, scripts, styles, templates,
-    ``hidden``, ``display: none`` and ``visibility: hidden``. Blocks start lines, paragraphs, headings,
-    lists and tables stand apart by a blank line, items have marks and hang below them, cells stand in
-    columns, and preformatted text keeps its blanks. No text that is shown is dropped, wherever it stands.
-    Cells are aligned on lines of up to ``WIDEST`` characters; a longer one is kept whole and doesn't set its
-    column's width, so the cells after it in its row stand two blanks behind it and not below the others.
-
-    Defined results: a null or empty page has empty texts; each row is read alone, so repeated rows
-    repeat; elements count at any depth, and each list or quote around a line sets it in further.
+    A tree builder applies implied start and end tags (head, paragraphs, list items, table parts) and
+    passes over broken markup as browsers do. What is not shown is left out: head, scripts, styles,
+    templates, closed dialogs, ``hidden``, ``display: none`` and, unless an element within is visible
+    again, ``visibility: hidden``; style sheets are not read, and closed details count as shown. Blocks
+    start lines, paragraphs, headings, lists and tables stand apart by a blank line, items have marks and
+    hang below them, and preformatted text keeps its blanks. No text that is shown is dropped.
+
+    The cells of a column stand below each other at any width. Only where a table would be padded with
+    more than ``BLANKS`` blanks for each character of its text are its widest columns narrowed; what
+    follows a cell that is wider than its column then stands on a line below, in its own column. So the
+    text of a page is bounded by its size, whatever its spans.
+
+    Defined results: a null or empty page has empty texts, and so has a page of any length without
+    visible text; an empty table of pages gives no rows; a null page_id is kept; each row is read alone,
+    so repeated rows repeat, and other columns, whatever their names, are left out; elements count at
+    any depth, and each list or quote around a line sets it in further; a page of any length is read whole.
     """
     bound_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_extracted, "page_id bigint, title string, text string, n_items bigint, n_tables bigint, n_chars bigint")

@@ -1,4 +1,7 @@
+import random
 import re
+import time
+import tracemalloc
 from html.parser import HTMLParser
 
 import pytest
@@ -19,7 +22,7 @@ CASES = {
     "<blockquote><p>q<p>r</blockquote>s": "  q\n\n  r\n\ns",
     "<table><tr><th>Name<th>N<tr><td>Al<td>12<tr><td>Barbara<td>3</table>": "Name     N\nAl       12\nBarbara  3",
     "<table><td>a<td>b</table>": "a  b",
-    "<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>c</table>": "wide one  x\na  b  c",
+    "<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>c</table>": "wide one  x\na  b      c",
     "<table><tr><td rowspan=2>r<td>1<tr><td>2</table>": "r  1\n   2",
     "<table><tr><td>a<br>b<td>c</table>": "a  c\nb",
     "<table>stray<tr><td>a</table>": "stray\na",
@@ -46,6 +49,18 @@ CASES = {
     "plain": "plain",
     "<script>never closed <p>x": "",
     "a<br><br>b": "a\n\nb",
+    "<head><title>T</title><p>Hello world": "Hello world",
+    "<head><meta charset=x><link rel=y> \n<script>no</script>Hello": "Hello",
+    "<head><title>T</title></head>a<head>b": "ab",
+    "a<script src=http://x/>document.write('</div>');alert(1)</script>b<script/>no</script>": "ab",
+    "<svg><title/><style/>x</svg>b<svg><title>no</title><g>d<p>c": "xbd\n\nc",
+    "<svg><path d=a/><p>a<script>no('</p>')</script>": "a",
+    "<svg><foreignObject><script/>no</script><p>a</foreignObject><style/>b</svg>c": "a\n\nbc",
+    "a<dialog>no</dialog><dialog open>b</dialog>c": "a\nb\nc",
+    "<p style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</p>": "yes",
+    "<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>": "- yes",
+    "<table><tr><td rowspan=0>r<td>1<tr><td>2<tbody><tr><td>3<td>4</table>": "r  1\n   2\n3  4",
+    "<table><tr><td rowspan=9>r<td rowspan=2>s<td>1<tr><td>2<tr><td>3<td>4</table>": "r  s  1\n      2\n   3  4",
 }
 
 
@@ -110,10 +125,73 @@ def test_no_depth_is_too_much(before):
     assert extract("<ul><li>" * 300 + "x<p>y") == ("", "- " * 300 + "x\n\n" + "  " * 300 + "y", 300, 0)
 
 
-def test_wide_cells_do_not_widen_a_table():
+def test_cells_stand_in_columns_at_any_width():
+    for wide in (60, 61, 200, 3000):
+        long, words = "w" * wide, "x " * (wide // 2)
+        lines = extract(f"<table><tr><td>a<td>b<td>c<tr><td>{long}<td>{words}<td>d</table>")[1].split("\n")
+        assert lines[0].index("b") == wide + 2 == lines[1].index("x")
+        assert lines[0].index("c") == lines[1].index("d")
+
+
+def test_padding_is_bounded():
     wide = "w" * 5000
     text = extract("<table>" + f"<tr><td>{wide}<td>b" + "<tr><td>a<td>b" * 100 + "</table>")[1]
-    assert len(text) < 6000 and text.startswith(wide + "  b\na")
+    assert len(text) < 5 * 5500 + 2000 and text.startswith(wide + "\n ")
+    lines = text.split("\n")
+    assert len({line.index("b") for line in lines[1:]}) == 1 and [x.split() for x in lines] == [[wide], ["b"], *[["a", "b"]] * 100]
+
+
+def test_spans_cost_nothing():
+    cell = "<td rowspan=1000 colspan=1000>x"
+    for source in ("<table><tr>" + cell * 1000 + "<tr><td>y" * 1000 + "</table>", "<table>" + ("<tr>" + cell) * 1000 + "</table>"):
+        tracemalloc.start()
+        began = time.process_time()
+        text = extract(source)[1]
+        assert text.count("x") == 1000
+        assert time.process_time() - began < 5 and tracemalloc.get_traced_memory()[1] < 100 << 20  # tracing takes most of it
+        tracemalloc.stop()
+        assert len(text) < 20_000
+
+
+def test_second_extractor():
+    """The order of visible words of random pages, against a walk over the page while it is made."""
+
+    def page(rng, depth, hidden, invisible, words):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice("t t t b d h v s x l n c e".split()) if depth else "t"
+            inner = lambda h=hidden, i=invisible: page(rng, depth - 1, h, i, words)  # noqa: E731, B023
+            if kind == "t":
+                word = f"w{rng.randrange(10**6)}"
+                if not hidden and not invisible:
+                    words.append(word)
+                out.append(f" {word} ")
+            elif kind in "bd":
+                tag = rng.choice(["b", "i", "span", "a href=x/"] if kind == "b" else ["div", "p", "section", "blockquote", "h2"])
+                out.append(f"<{tag}>" + (inner() if tag != "p" else f"<em>{page(rng, 0, hidden, invisible, words)}</em>") + f"</{tag.split()[0]}>")
+            elif kind == "h":
+                out.append(rng.choice(["<div hidden>{}</div>", "<div style='display:none'>{}</div>", "<template>{}</template>", "<dialog>{}</dialog>"]).format(inner(True)))
+            elif kind == "v":
+                out.append(f"<div style='color:red; visibility: hidden'>{inner(i=True)}</div>")
+            elif kind == "s":
+                out.append(f"<div style='visibility:visible'>{inner(i=False)}</div>")
+            elif kind == "x":
+                out.append(rng.choice(["<script src=http://x/>no(\"</div>\")</script>", "<style>no{}</style>", "<!-- no -->", "<svg><title>no</title><path d='m'/></svg>", "<dialog hidden open>no</dialog>"]))
+            elif kind == "l":
+                out.append("<ul>" + "".join(f"<li>{inner()}" for _ in range(2)) + "</ul>")
+            elif kind == "n":
+                out.append(f"<dialog open>{inner()}</dialog>")
+            elif kind == "c":
+                out.append("<table>" + "".join(f"<tr><td colspan={rng.randint(0, 3)}>{page(rng, 0, hidden, invisible, words)}" for _ in range(3)) + "</table>")
+            else:
+                out.append("<svg/><br/>")
+        return "".join(out)
+
+    for seed in range(300):
+        rng, words = random.Random(seed), []
+        body = page(rng, 4, False, False, words)
+        head = rng.choice(["", "<head><title>T</title>", "<head><title>T</title><script>no</script></head><body>", "<body>"])
+        assert re.findall(r"w\d+|no", extract(head + body)[1]) == words, seed
 
 
 def test_odd_rows(spark):
