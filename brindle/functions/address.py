@@ -9,10 +9,14 @@ from brindle.errors import ConfigError
 
 
 def hash_bucket(buckets: int, *keys: Column, level: int = 0) -> Column:
-    """Bucket of a row by its keys; another level gives independent buckets."""
+    """Bucket of a row by its keys; another level gives independent buckets.
+
+    The first 32 bits of the md5 of level and keys as text, so that any other engine can find the same bucket.
+    """
     if buckets < 1:
         raise ConfigError("at least one bucket is needed")
-    return F.pmod(F.xxhash64(F.lit(level), *keys), F.lit(buckets)).cast("int")
+    text = F.concat_ws("\x1f", F.lit(str(level)), *[F.coalesce(k.cast("string"), F.lit("\x00")) for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
 def item_pointer(row_id: Column, slots: int = 128) -> tuple[Column, Column]:

@@ -1,16 +1,19 @@
 """Insert, update and delete as rewrites of a table.
 
 Plain Parquet tables can't be changed in place. Each function returns the new content; ``Table``
-writes it as a new version and moves a pointer, so that no reader sees a half-written version and
-nothing is read from the files being written.
+writes it to a folder of its own and renames that to the next version, so that no reader sees a
+half-written version and nothing is read from the files being written.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.errors import ValueError_
+from brindle.errors import SerializationError, ValueError_
 
 
 def _expr(e: str | Column) -> Column:
@@ -64,8 +67,24 @@ class Table:
         return self.spark.read.parquet(f"{self.path}/v{found[-1] if version is None else version}")
 
     def write(self, content: DataFrame) -> int:
-        """Writes the next version and returns its number."""
+        """Writes the next version and returns its number.
+
+        The number is taken before anything is written. If another writer has taken it meanwhile, this
+        one fails and leaves nothing, as its content may come from a version that isn't current any more.
+        """
         found = self.versions()
         version = found[-1] + 1 if found else 0
-        content.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        made = f"{self.path}/.{uuid.uuid4().hex}"
+        content.write.parquet(made)
+        jvm = self.spark._jvm
+        made, place = (jvm.org.apache.hadoop.fs.Path(x) for x in (made, f"{self.path}/v{version}"))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs()[1].makeQualified(made).toUri(), self.spark._jsc.hadoopConfiguration())
+        keep = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(made, place, keep)
+        except Py4JJavaError as e:
+            files.delete(made, True)
+            if files.util().exists(place):
+                raise SerializationError(f"another writer made version {version} of {self.path}") from e
+            raise
         return version

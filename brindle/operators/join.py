@@ -58,7 +58,44 @@ def equi_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], stra
     return left.join(right, reduce(lambda p, q: p & q, conditions), "inner")
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], share: float = 0.01, salts: int = 16, null_safe: bool = False, prefixes: tuple[str, str] = ("l_", "r_")) -> DataFrame:
+    """``equi_join`` whose heavy keys are dealt to ``salts`` parts each.
+
+    A key with more than ``share`` of the left rows is heavy, so there are fewer than 1 / share of them,
+    which is what bounds the broadcast of their list. A left row of a heavy key goes to one part by a hash
+    of the row, and the right rows of the key to all parts. Equal left rows stay together, and adaptive
+    execution splits those.
+    """
+    if not 0 < share <= 1 or salts < 1:
+        raise ConfigError("share has to be above 0 and at most 1, and salts at least 1")
+    check_keys(left, right, on)
+    salt, names = "_salt", [f"_key{i}" for i in range(len(on))]
+    keys = left.groupBy(*[F.col(f"`{a}`").alias(n) for (a, _), n in zip(on, names, strict=True)]).agg(F.count("*").alias("_n"))
+    total = F.broadcast(keys.agg(F.sum("_n").alias("_all")))
+    heavy = F.broadcast(keys.join(total).filter(F.col("_n") > F.lit(share) * F.col("_all")).select(*names, F.lit(True).alias("_heavy")))
+
+    def marked(df: DataFrame, columns: list[str]) -> DataFrame:
+        return df.join(heavy, reduce(lambda p, q: p & q, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip(columns, names, strict=True)]), "left")
+
+    dealt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    one = marked(left, [a for a, _ in on]).select(*[F.col(f"`{c}`") for c in left.columns], dealt.alias(salt))
+    two = marked(right, [b for _, b in on]).select(*[F.col(f"`{c}`") for c in right.columns], F.explode(copies).alias(salt))
+    out = equi_join(one, two, [*on, (salt, salt)], null_safe=null_safe, prefixes=prefixes)
+    both = set(left.columns) & set(right.columns)
+    return out.select(*[F.col(f"`{p}{c}`" if c in both else f"`{c}`") for df, p in ((left, prefixes[0]), (right, prefixes[1])) for c in df.columns])
+
+
 def nested_loop_join(left: DataFrame, right: DataFrame, condition: str | Column, prefixes: tuple[str, str] = ("l_", "r_")) -> DataFrame:
-    """Inner join on any condition over the renamed columns."""
+    """Inner join on any condition over the renamed columns.
+
+    Each pair of rows is looked at, so one side has to be small: the right one is broadcast if the
+    optimizer's estimate of it is below ``BROADCAST_LIMIT``, or else the left one by the same rule. With two
+    larger sides the pairs are dealt to tasks as a product of partitions, which no memory bounds but time does.
+    """
     left, right = _apart(left, right, prefixes)
+    if estimated_bytes(right) <= BROADCAST_LIMIT:
+        right = F.broadcast(right)
+    elif estimated_bytes(left) <= BROADCAST_LIMIT:
+        left = F.broadcast(left)
     return left.join(right, F.expr(condition) if isinstance(condition, str) else condition, "inner")

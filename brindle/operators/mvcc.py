@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.errors import ConfigError
-from brindle.session import materialize, release
+from brindle.session import materialize, release, scratch
 
 
 def versions_of(df: DataFrame, key: str, begin: str, tie: str) -> DataFrame:
@@ -118,24 +118,73 @@ def install(versions: DataFrame, writes: DataFrame) -> DataFrame:
     return old.unionByName(new.drop("access"))
 
 
-def cascading_abort(dependencies: DataFrame, aborted: DataFrame, rounds: int = 100) -> DataFrame:
+def cascading_abort(dependencies: DataFrame, aborted: DataFrame) -> DataFrame:
     """All transactions that abort: those given and whatever depends on them, directly or not.
 
-    ``dependencies`` has tx and depends_on and may have cycles. The frontier of each round is
-    written to shared storage, so the plan doesn't grow with the depth.
+    ``dependencies`` has tx and depends_on and may have cycles and repeated rows; nulls are left out.
+    Transactions with one dependency pass on what becomes of it, so chains of them are first shortened by
+    pointer doubling, in rounds logarithmic in their length (a chain that ends in a cycle never aborts).
+    What is left is searched from the aborted ones in rounds, as many as the longest path through
+    transactions with several dependencies. Every round is written to shared storage, so plans stay small.
     """
-    deps = dependencies.select("tx", "depends_on")
-    seen = materialize(aborted.select("tx").distinct(), "aborted")
-    parts, frontier = [seen], seen
-    for _ in range(rounds):
-        hit = deps.join(frontier.select(F.col("tx").alias("_gone")), F.col("depends_on") == F.col("_gone"), "left_semi").select("tx").distinct()
-        known = reduce(DataFrame.unionByName, parts)
-        frontier = materialize(hit.join(known, "tx", "left_anti"), "aborted")
-        if frontier.isEmpty():
-            release(frontier)
-            return known
-        parts.append(frontier)
-    raise ConfigError(f"dependencies are deeper than {rounds}")
+    with scratch() as keep:
+        deps = dependencies.select("tx", "depends_on").filter("tx IS NOT NULL AND depends_on IS NOT NULL").distinct()
+        gone = materialize(aborted.select("tx").filter("tx IS NOT NULL").distinct(), "aborted")
+        deps = materialize(deps.join(gone, "tx", "left_anti"), "dependencies")
+        degree = materialize(deps.groupBy("tx").agg(F.min("depends_on").alias("to"), F.count("*").alias("n")), "degrees")
+        jump = materialize(degree.filter("n = 1").select("tx", "to"), "jumps")
+        left = None
+        while True:
+            step = jump.select(F.col("tx").alias("_tx"), F.col("to").alias("_to"))
+            after = materialize(jump.join(step, F.col("to") == F.col("_tx"), "left").select("tx", F.coalesce("_to", "to").alias("to"), F.col("_tx").isNotNull().alias("open")), "jumps")
+            now = after.filter("open").count()  # it falls in each round until only ways into cycles are left
+            release(jump)
+            jump = after.select("tx", "to") if not now else materialize(after.select("tx", "to"), "jumps")
+            if not now or now == left:
+                break
+            release(after)
+            left = now
+        ends = jump.select(F.col("tx").alias("_tx"), F.col("to").alias("_to"))
+        several = deps.join(degree.filter("n > 1"), "tx", "left_semi").join(ends, F.col("depends_on") == F.col("_tx"), "left")
+        several = materialize(several.select("tx", F.coalesce("_to", "depends_on").alias("depends_on")).distinct(), "several")
+        known, frontier = [gone], gone
+        while True:
+            hit = several.join(frontier.select(F.col("tx").alias("_gone")), F.col("depends_on") == F.col("_gone"), "left_semi").select("tx").distinct()
+            frontier = materialize(hit.join(reduce(DataFrame.unionByName, known), "tx", "left_anti"), "aborted")
+            if frontier.isEmpty():
+                break
+            known.append(frontier)
+            if len(known) > 8:
+                known = [materialize(reduce(DataFrame.unionByName, known), "aborted")]
+        found = reduce(DataFrame.unionByName, known)
+        behind = jump.join(found.select(F.col("tx").alias("_gone")), F.col("to") == F.col("_gone"), "left_semi").select("tx")
+        return keep(materialize(found.unionByName(behind), "aborted"))
+
+
+def transact(versions: DataFrame, operations: DataFrame, transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs transactions that are all open at once, each begun before any commits: reads, validation and installation.
+
+    ``versions`` has rid, value, begin_ts and end_ts, ``operations`` tx, rid, op (read, update, insert,
+    delete), value and seq, ``transactions`` tx, begin_ts and commit_ts. Returns tx and commits, a row for
+    each transaction that has operations, and the versions afterwards.
+
+    An operation reads the version at its transaction's begin. A transaction commits if all it did to
+    each row is sound, what it read or changed was there and what it inserted was not, no version that it
+    read ends before its commit, and no transaction that comes earlier in the order of commits changes a
+    row that it touches; those that abort themselves count here, too, so none has to wait for another.
+    """
+    sets = access_sets(operations).join(transactions.select("tx", F.col("begin_ts").alias("_begin"), "commit_ts"), "tx")
+    last = operations.filter(F.col("op").isin("update", "insert")).groupBy("tx", "rid").agg(F.max_by("value", "seq").alias("value"))
+    live = versions.select(F.col("rid").alias("_rid"), F.col("begin_ts").alias("_from"), F.col("end_ts").alias("_to"))
+    entries = sets.join(live, (F.col("rid") == F.col("_rid")) & (F.col("_from") < F.col("_begin")) & (F.col("_to").isNull() | (F.col("_to") > F.col("_begin"))), "left")
+    writes, new = F.col("access") != "read", F.col("access").isin("insert", "insert_delete")
+    before = Window.partitionBy("rid").orderBy("commit_ts", "tx").rowsBetween(Window.unboundedPreceding, -1)
+    entries = entries.withColumn("_writer", F.max(F.when(writes, F.col("commit_ts"))).over(before))
+    there = F.when(new, F.col("_rid").isNull()).otherwise(F.col("_rid").isNotNull() & (F.col("_to").isNull() | (F.col("_to") >= F.col("commit_ts"))))
+    free = F.col("_writer").isNull()
+    done = entries.groupBy("tx").agg(F.bool_and(F.col("sound") & there & free).alias("commits"))
+    good = sets.join(done.filter("commits"), "tx", "left_semi").join(last, ["tx", "rid"], "left")
+    return done, install(versions, good)
 
 
 #: Which lock modes two transactions can hold at once: fixed values of the protocol.

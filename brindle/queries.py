@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.errors import ValueError_
 from brindle.functions.address import hash_bucket, is_owner, item_pointer, owner, tagged
-from brindle.operators import mvcc
+from brindle.operators import join, mvcc
 from brindle.operators.join import equi_join
 from brindle.plans import Aggregate, Delete, Distinct, Filter, HashJoin, IndexScan, Insert, Limit, NestedLoopJoin, Project, RangeScan, RawInput, SeqScan, Update, lower
 from brindle.session import read_table
 from brindle.sources import datagen, kv, memory, scan
+from brindle.sources.catalog import Catalog
 from brindle.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +141,14 @@ def grace_skew(spark, d):
     return equi_join(k, k, [("k", "k")]).select(F.col("l_k").alias("k"), (F.col("l_n") * F.col("r_n")).alias("pairs"))
 
 
+@query("SELECT l_partkey, l_quantity, o_custkey FROM (SELECT CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_orderkey END AS k, * FROM lineitem) JOIN orders ON k = o_orderkey")
+def skew_join(spark, d):
+    """A join one of whose keys has a third of all rows."""
+    line = read_table(spark, d, "lineitem").select(F.expr("CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_orderkey END").alias("k"), "l_partkey", "l_quantity", "l_linenumber")
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return join.skew_join(line, orders, [("k", "o_orderkey")]).select("l_partkey", "l_quantity", "o_custkey")
+
+
 @query("SELECT count(*) AS n FROM orders JOIN (SELECT * FROM customer WHERE c_custkey < 0) c ON o_custkey = c_custkey")
 def grace_empty_side(spark, d):
     none = SeqScan(read_table(spark, d, "customer"), ("c_custkey",), "c_custkey < 0")
@@ -168,12 +179,16 @@ def lineitem_orders(spark, d):
     return lower(HashJoin(line, SeqScan(read_table(spark, d, "orders"), ("o_orderkey", "o_custkey")), (("l_orderkey", "o_orderkey"),))).select("l_orderkey", "l_partkey", "o_custkey")
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+@query(
+    """WITH k AS (SELECT o_custkey, CAST(CAST('0x' || substr(md5(concat_ws(chr(31), '0', CAST(o_custkey AS VARCHAR))), 1, 8) AS BIGINT) % 10 AS INTEGER) AS b0,
+        CAST(CAST('0x' || substr(md5(concat_ws(chr(31), '1', CAST(o_custkey AS VARCHAR))), 1, 8) AS BIGINT) % 10 AS INTEGER) AS b1 FROM orders)
+    SELECT b0, b1, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM k GROUP BY b0, b1"""
+)
 def hash_partition(spark, d):
-    """Rows over the partitions of a two-level partitioning by key hash: none is lost."""
+    """Rows and keys of each bucket of a two-level partitioning by key hash."""
     o = read_table(spark, d, "orders").select("o_custkey")
-    parts = o.groupBy(hash_bucket(10, F.col("o_custkey")).alias("b0"), hash_bucket(10, F.col("o_custkey"), level=1).alias("b1")).count()
-    return parts.agg(F.sum("count").alias("n"))
+    parts = o.select("o_custkey", hash_bucket(10, F.col("o_custkey")).alias("b0"), hash_bucket(10, F.col("o_custkey"), level=1).alias("b1"))
+    return parts.groupBy("b0", "b1").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("keys"))
 
 
 @query(
@@ -218,6 +233,16 @@ def insert_select(spark, d):
     return lower(Insert(n, more))
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT * FROM (VALUES (25, 'ATLANTIS', 1), (26, NULL, NULL)) t(a, b, c)")
+def insert_values(spark, d):
+    """An insert of constants, in the target's types."""
+    n = SeqScan(read_table(spark, d, "nation"), ("n_nationkey", "n_name", "n_regionkey"))
+    one = RawInput(spark.range(1))
+    for values in (("25", "'ATLANTIS'", "1"), ("26", "CAST(NULL AS STRING)", "CAST(NULL AS INT)")):
+        n = Insert(n, Project(one, dict(zip(("n_nationkey", "n_name", "n_regionkey"), values, strict=True))))
+    return lower(n)
+
+
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
 def update_where(spark, d):
     c = SeqScan(read_table(spark, d, "customer"), ("c_custkey", "c_acctbal", "c_mktsegment"))
@@ -302,6 +327,31 @@ def populate(spark, d):
     return datagen.populate(read_table(spark, d, "nation"), "n_nationkey")
 
 
+@query(
+    """WITH p AS (SELECT n_nationkey AS i, ((n_nationkey * 1103515245 + 1) % 2147483648) % greatest((SELECT count(*) FROM nation) // 3, 1) AS b,
+        ((n_nationkey * 1103515245 + 2) % 2147483648) * 2 + ((n_nationkey * 1103515245 + 3) % 2147483648) % 2 AS c FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)),
+    q AS (SELECT i, b, (c * 10 + 2) % 4294967296 AS c FROM p)
+    SELECT CAST(10 * i AS INTEGER) AS col_a, CAST(10 * b + 1 AS INTEGER) AS col_b, CAST(CASE WHEN c >= 2147483648 THEN c - 4294967296 ELSE c END AS DOUBLE) AS col_c FROM q"""
+)
+def populate_random(spark, d):
+    n = read_table(spark, d, "nation")
+    return datagen.populate(n, "n_nationkey", n.count())
+
+
+@query("SELECT * FROM (VALUES ('id', 'int', 'made'), ('some_bool', 'boolean', 'made'), (NULL, NULL, 'taken'), (NULL, NULL, 'unknown')) t(name, kind, result)")
+def catalog_tables(spark, d):
+    """What the catalog tells of a table that is made, made again, dropped and looked for."""
+    c, name = Catalog(spark), f"catalog_{uuid.uuid4().hex}"
+    c.create_table(name, [("id", "INTEGER"), ("some_bool", "BOOL")])
+    found = [(x.name, x.dataType.simpleString(), "made") for x in c.get_table(name)]
+    for result, call in (("taken", lambda: c.create_table(name, [("id", "INTEGER")])), ("unknown", lambda: (c.drop_table(name), c.get_table(name)))):
+        try:
+            call()
+        except ValueError_:
+            found.append((None, None, result))
+    return memory.rows(spark, found, "name string, kind string, result string")
+
+
 VERSIONS = """WITH v AS (SELECT o_orderkey AS rid, o_custkey, o_orderdate AS begin_ts,
     lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS end_ts FROM orders) """
 
@@ -348,6 +398,65 @@ def occ_validation(spark, d):
     return mvcc.validate_commits(rw, v)
 
 
+@query(
+    """WITH t AS (SELECT c_custkey AS tx, ['processing', 'preparing', 'committed', 'aborted'][c_custkey % 4 + 1] AS state, CAST(c_custkey * 7 % 2000 AS BIGINT) AS ts FROM customer),
+    v AS (SELECT o_orderkey AS rid, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS begin_ts, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS begin_owner,
+        CASE WHEN o_orderkey % 5 = 1 THEN o_custkey + 300 END AS end_ts, CASE WHEN o_orderkey % 5 IN (2, 3) THEN o_orderkey % 1000 END AS end_owner FROM orders),
+    w AS (SELECT v.*, coalesce(b.state, 'aborted') AS bs, b.ts AS bt, coalesce(e.state, 'aborted') AS es, e.ts AS et FROM v LEFT JOIN t b ON b.tx = begin_owner LEFT JOIN t e ON e.tx = end_owner),
+    x AS (SELECT *, coalesce(CASE WHEN begin_owner IS NULL THEN begin_ts < 900 WHEN bs = 'processing' THEN bt < 900 AND begin_owner = 4 WHEN bs IN ('preparing', 'committed') THEN bt < 900 END, false) AS begun,
+        CASE WHEN end_owner IS NULL THEN end_ts IS NULL OR end_ts > 900 WHEN es = 'processing' THEN end_owner <> 4 WHEN es IN ('preparing', 'committed') THEN et > 900 ELSE true END AS alive FROM w)
+    SELECT rid, CASE WHEN NOT begun THEN 'invisible' WHEN NOT alive THEN 'deleted' ELSE 'visible' END AS visibility,
+        begun AND (begin_owner IS NOT NULL AND bs = 'preparing' OR end_owner IS NOT NULL AND es = 'preparing' AND NOT alive) AS speculative FROM x"""
+)
+def owner_visibility(spark, d):
+    """What a transaction sees of versions that other transactions, or it itself, are writing."""
+    state = F.element_at(F.array(*[F.lit(x) for x in ("processing", "preparing", "committed", "aborted")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    tx = read_table(spark, d, "customer").select(F.col("c_custkey").alias("tx"), state.alias("state"), (F.col("c_custkey") * 7 % 2000).alias("ts"))
+    v = read_table(spark, d, "orders").selectExpr(
+        "o_orderkey AS rid", "CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS begin_ts", "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS begin_owner",
+        "CASE WHEN o_orderkey % 5 = 1 THEN o_custkey + 300 END AS end_ts", "CASE WHEN o_orderkey % 5 IN (2, 3) THEN o_orderkey % 1000 END AS end_owner",
+    )
+    return mvcc.visibility(v, tx, 900, 4).select("rid", "visibility", "speculative")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey // 3 AS tx, o_custkey AS rid, ['read', 'update', 'insert', 'delete', 'read', 'update'][o_orderkey % 6 + 1] AS op, o_totalprice AS value, o_orderkey AS seq FROM orders),
+    v AS (SELECT c_custkey AS rid, c_acctbal AS value, CAST(1 AS BIGINT) AS begin_ts, CASE WHEN c_custkey % 10 = 0 THEN CAST(5000000 AS BIGINT) WHEN c_custkey % 7 = 0 THEN CAST(2 AS BIGINT) END AS end_ts FROM customer),
+    k AS (SELECT tx, rid, list(op ORDER BY seq) AS ops, arg_max(value, CASE WHEN op IN ('update', 'insert') THEN seq END) AS value, 10 + tx % 5 AS begun, 4000000 + tx * 100 AS commit_ts FROM o GROUP BY tx, rid),
+    a AS (SELECT *, CASE WHEN list_contains(ops, 'insert') AND list_contains(ops, 'delete') THEN 'insert_delete' WHEN list_contains(ops, 'delete') THEN 'delete'
+        WHEN list_contains(ops, 'insert') THEN 'insert' WHEN list_contains(ops, 'update') THEN 'update' ELSE 'read' END AS access, NOT list_contains(ops[:-2], 'delete') AS sound FROM k),
+    e AS (SELECT a.*, v.rid AS there, v.end_ts AS until, (SELECT count(*) FROM a b WHERE b.rid = a.rid AND b.commit_ts < a.commit_ts AND b.access <> 'read') AS earlier
+        FROM a LEFT JOIN v ON v.rid = a.rid AND v.begin_ts < a.begun AND (v.end_ts IS NULL OR v.end_ts > a.begun)),
+    c AS (SELECT tx FROM e GROUP BY tx HAVING bool_and(sound AND earlier = 0 AND CASE WHEN access IN ('insert', 'insert_delete') THEN there IS NULL ELSE there IS NOT NULL AND (until IS NULL OR until >= commit_ts) END)),
+    w AS (SELECT a.* FROM a JOIN c USING (tx) WHERE access IN ('update', 'delete', 'insert'))
+    SELECT v.rid, v.value, v.begin_ts, coalesce(v.end_ts, w.commit_ts) AS end_ts FROM v LEFT JOIN w USING (rid)
+    UNION ALL SELECT rid, value, commit_ts, NULL FROM w WHERE access <> 'delete'"""
+)
+def transactions(spark, d):
+    """Versions after transactions that run at once: reads, validation, installation."""
+    k = F.col("o_orderkey")
+    tx = F.floor(k / 3).cast("bigint")
+    op = F.element_at(F.array(*[F.lit(x) for x in ("read", "update", "insert", "delete", "read", "update")]), (k % 6 + 1).cast("int"))
+    o = read_table(spark, d, "orders")
+    operations = o.select(tx.alias("tx"), F.col("o_custkey").alias("rid"), op.alias("op"), F.col("o_totalprice").alias("value"), k.alias("seq"))
+    open_ = o.select(tx.alias("tx")).distinct().select("tx", (F.lit(10) + F.col("tx") % 5).alias("begin_ts"), (F.lit(4000000) + F.col("tx") * 100).alias("commit_ts"))
+    v = read_table(spark, d, "customer").selectExpr("c_custkey AS rid", "c_acctbal AS value", "1L AS begin_ts", "CASE WHEN c_custkey % 10 = 0 THEN 5000000L WHEN c_custkey % 7 = 0 THEN 2L END AS end_ts")
+    return mvcc.transact(v, operations, open_)[1]
+
+
+LEVELS = ("read_uncommitted", "read_committed", "repeatable_read", "serializable")
+
+
+@query(
+    """SELECT * FROM (VALUES ('read_uncommitted', 'growing', 'abort', NULL), ('read_uncommitted', 'shrinking', 'abort', NULL), ('read_committed', 'growing', 'true', 20), ('read_committed', 'shrinking', 'true', 20),
+    ('repeatable_read', 'growing', 'true', 10), ('repeatable_read', 'shrinking', 'abort', 10), ('serializable', 'growing', 'true', 10), ('serializable', 'shrinking', 'true', 10)) t(isolation, phase, shared_lock, read_ts)"""
+)
+def isolation_rules(spark, d):
+    """Whether a transaction gets a shared lock, and the time it reads at, by isolation level."""
+    found = [(level, phase, str(mvcc.shared_lock(level, phase, False)).lower(), mvcc.read_timestamp(level, 10, 20)) for level in LEVELS for phase in ("growing", "shrinking")]
+    return memory.rows(spark, found, "isolation string, phase string, shared_lock string, read_ts int")
+
+
 @query("SELECT * FROM (VALUES ('read','read',true),('read','write',true),('read','certify',false),('write','read',true),('write','write',false),('write','certify',false),('certify','read',false),('certify','write',false),('certify','certify',false)) t(held, wanted, compatible)")
 def lock_matrix(spark, d):
     return mvcc.lock_matrix(spark)
@@ -362,6 +471,18 @@ def cascading_abort(spark, d):
     return mvcc.cascading_abort(memory.rows(spark, pairs, "tx bigint, depends_on bigint"), memory.rows(spark, [(2,)], "tx bigint"))
 
 
+@query(
+    """WITH RECURSIVE deps AS (SELECT o_orderkey AS tx, o_orderkey - 1 AS depends_on FROM orders WHERE o_orderkey % 1500 <> 0
+        UNION ALL SELECT o_orderkey, o_orderkey - 7 FROM orders WHERE o_orderkey % 100 = 50),
+    gone(tx) AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3000 = 40 UNION SELECT d.tx FROM deps d JOIN gone g ON d.depends_on = g.tx) SELECT tx FROM gone"""
+)
+def cascading_abort_deep(spark, d):
+    """Chains of 1500 transactions, some with a second dependency."""
+    o = read_table(spark, d, "orders")
+    deps = o.filter("o_orderkey % 1500 <> 0").selectExpr("o_orderkey AS tx", "o_orderkey - 1 AS depends_on").unionAll(o.filter("o_orderkey % 100 = 50").selectExpr("o_orderkey AS tx", "o_orderkey - 7 AS depends_on"))
+    return mvcc.cascading_abort(deps, o.filter("o_orderkey % 3000 = 40").selectExpr("o_orderkey AS tx"))
+
+
 @query("SELECT 3 AS key, n_name AS value, 0 AS seq FROM nation WHERE n_nationkey = 3")
 def kv_get(spark, d):
     return kv.get(_kv(spark, d)[0], 3)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.errors import ConfigError
+
 #: Settings that the engine's plans rely on. Sizes are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,7 +43,10 @@ BATCH_ROWS = 1000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches for Python of at most ``BATCH_ROWS`` rows, where the session has Spark's default."""
+    """Batches for Python of at most ``BATCH_ROWS`` rows, where the session has Spark's default.
+
+    Plans read the setting when they run, so it stays set; a session that has a value of its own keeps it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
@@ -54,13 +60,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, for intermediate tables.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in tests on one
-    machine, a folder under the warehouse is taken.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset on one machine, as in tests, a
+    folder under the warehouse is taken; on a cluster that is an error, as a machine's own disk would be.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ConfigError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), "_brindle")
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return qualified(spark, f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}")
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI with its scheme, by the cluster's default file system if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return uri if "://" in uri else uri.replace(":", "://", 1)
 
 
 #: Written tables that are not released, in order.

@@ -23,8 +23,15 @@ def uniform(row: Column, low: int, high: int, seed: int = 12345) -> Column:
     """A number of [low, high) from integer arithmetic on the row, alike in any layout."""
     if high <= low:
         raise ParseError(f"empty range [{low}, {high})")
-    mixed = F.pmod(row * F.lit(1103515245) + F.lit(seed), F.lit(2147483648))
-    return mixed % F.lit(high - low) + F.lit(low)
+    if high - low > 1 << 31:
+        raise ParseError(f"a range of more than {1 << 31}: [{low}, {high})")
+    return _mixed(row, seed) % F.lit(high - low) + F.lit(low)
+
+
+def _mixed(row: Column, seed: int) -> Column:
+    """31 bits of a row's number, which may be any."""
+    turn = F.lit(1 << 31)
+    return F.pmod(F.pmod(row, turn) * F.lit(1103515245) + F.lit(seed), turn)
 
 
 def generate(spark: SparkSession, spec: dict | str, batch: int | None = SERIAL_BATCH) -> DataFrame:
@@ -47,7 +54,19 @@ def generate(spark: SparkSession, spec: dict | str, batch: int | None = SERIAL_B
     return spark.range(spec["size"]).select(*columns)
 
 
-def populate(ids: DataFrame, key: str) -> DataFrame:
-    """Cells by a formula of row and column: 10 * row + column."""
-    base = F.col(key).cast("bigint") * 10
-    return ids.select(base.cast("int").alias("col_a"), (base + 1).cast("int").alias("col_b"), (base + 2).cast("double").alias("col_c"))
+def populate(ids: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """Cells by a formula of row and column: 10 * row + column.
+
+    With ``rows``, the number of rows there are, this is the random mode: col_b takes its row from the
+    first third, so that values repeat, and col_c from all numbers of 32 bits. Whole numbers wrap round at 32 bits.
+    """
+    row = F.col(key).cast("bigint")
+    b = row if rows is None else uniform(row, 0, max(rows // 3, 1), 1)
+    c = row if rows is None else _mixed(row, 2) * 2 + F.pmod(_mixed(row, 3), F.lit(2))
+
+    def cell(r: Column, column: int) -> Column:
+        turn = F.lit(1 << 32)
+        value = F.pmod(r * 10 + column, turn)
+        return F.when(value >= 1 << 31, value - turn).otherwise(value).cast("int")
+
+    return ids.select(cell(row, 0).alias("col_a"), cell(b, 1).alias("col_b"), cell(c, 2).cast("double").alias("col_c"))

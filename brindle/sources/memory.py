@@ -24,9 +24,12 @@ def collect(df: DataFrame) -> list[Row]:
     return df.collect()
 
 
-def pretty(df: DataFrame, limit: int = 1000) -> str:
-    """The result as a boxed text table; an empty result has its header."""
-    return df._show_string(limit, False, False)
+def pretty(df: DataFrame, limit: int | None = 1000) -> str:
+    """The first rows of a result as a boxed text table, with a line that says so if there are more.
+
+    None shows all rows, which the caller then knows to be few. An empty result has its header.
+    """
+    return df._show_string(df.count() if limit is None else limit, False, False)
 
 
 def assert_same_rows(df: DataFrame, expected: DataFrame) -> None:

@@ -1,5 +1,7 @@
 """Operators on small tables whose results are known by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ import __spark_entry__
 from brindle import errors
 from brindle.functions.address import hash_bucket, is_owner, item_pointer, owner, tagged
 from brindle.functions.types import type_of
-from brindle.operators import dml, mvcc, relational
+from brindle.operators import dml, join, mvcc, relational
 from brindle.operators.join import equi_join, nested_loop_join
 from brindle.plans import Delete, RawInput, SeqScan, lower
 from brindle.queries import fixture_join
@@ -85,6 +87,46 @@ def test_a_large_side_is_not_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_skew_join(spark):
+    rng = random.Random(1)
+    left = [(rng.choice([None, 1, 1, 1, 1, *range(60)]), i) for i in range(900)] + [(1, 5)] * 20
+    a, b = memory.rows(spark, left, "k int, v int"), memory.rows(spark, [(k % 70 if k else None, k) for k in range(140)], "k int, w int")
+    for null_safe in (False, True):
+        memory.assert_same_rows(join.skew_join(a, b, [("k", "k")], null_safe=null_safe), equi_join(a, b, [("k", "k")], null_safe=null_safe))
+    assert join.skew_join(a.limit(0), b, [("k", "k")]).count() == 0
+    with pytest.raises(errors.ConfigError):
+        join.skew_join(a, b, [("k", "k")], share=0)
+
+
+def test_shared_folder_of_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from brindle.session import qualified, shared_folder
+
+    context = SimpleNamespace(getConf=lambda: {}, master="spark://host:7077", applicationId="a")
+    with pytest.raises(errors.ConfigError):
+        shared_folder(SimpleNamespace(sparkContext=context))
+    assert qualified(spark, "/x/y") == "file:///x/y" and qualified(spark, "file:/x") == "file:///x"
+
+
+def test_entry_without_operators(monkeypatch, tmp_path):
+    """A module of the operators that can't be imported leaves the other queries alone."""
+    import sys
+
+    assert "op1_license_scan" not in __spark_entry__.relational.QUERIES
+    monkeypatch.setitem(sys.modules, "brindle.llm", None)
+    for name in [m for m in sys.modules if m.startswith("brindle.llm.") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    assert set(__spark_entry__.queries()) == set(__spark_entry__.relational.QUERIES)
+    assert set(__spark_entry__.oracle_sql()) == set(__spark_entry__.relational.SQL)
+    monkeypatch.delitem(sys.modules, "brindle.llm")
+    (tmp_path / "broken_part.py").write_text("import no_such_module\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.warns(UserWarning, match="no_such_module"):
+        assert __spark_entry__.optional("broken_part") is None
+    assert __spark_entry__.optional("not_there_at_all") is None
+
+
 def test_nested_loop(spark):
     a = memory.rows(spark, [(1,), (2,), (3,)], "x int")
     assert values(nested_loop_join(a, a, "l_x < r_x")) == [(1, 2), (1, 3), (2, 3)]
@@ -130,6 +172,12 @@ def test_table_versions(spark, tmp_path):
     assert values(t.read()) == [(2,)] and values(t.read(0)) == [(1,), (2,)]
     with pytest.raises(errors.ValueError_):
         t.read(7)
+    slow, fast = dml.Table(spark, t.path), dml.Table(spark, t.path)
+    slow.versions = lambda: [0]  # it looked before the other one wrote
+    assert fast.write(memory.rows(spark, [(9,)], "k int")) == 2
+    with pytest.raises(errors.SerializationError):
+        slow.write(memory.rows(spark, [(5,)], "k int"))
+    assert values(t.read()) == [(9,)] and sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".v")) == ["v0", "v1", "v2"]
 
 
 @pytest.mark.parametrize(
@@ -183,6 +231,11 @@ def test_generator(spark):
         with pytest.raises(errors.ParseError):
             datagen.generate(spark, bad)
     assert values(datagen.populate(spark.range(3, 4), "id")) == [(30, 31, 32.0)]
+    made = datagen.populate(spark.range(300), "id", 300).collect()
+    assert [r["col_a"] for r in made] == [10 * i for i in range(300)]
+    assert {r["col_b"] % 10 for r in made} == {1} and len({r["col_b"] for r in made}) <= 100 and len({r["col_c"] for r in made}) > 290
+    far = spark.range(9_000_000_000, 9_000_000_003).select(datagen.uniform(F.col("id"), 0, 9).alias("x"))
+    assert all(0 <= r["x"] < 9 for r in far.collect())
 
 
 def test_addresses(spark):
@@ -256,6 +309,28 @@ def test_cascading_abort(spark):
     edges = [(t, d) for t in range(11, 100) for d in range(10)]
     gone = mvcc.cascading_abort(memory.rows(spark, edges, "tx bigint, depends_on bigint"), memory.rows(spark, [(9,)], "tx bigint"))
     assert [r[0] for r in gone.orderBy("tx").collect()] == [9, *range(11, 100)]
+
+    def check(pairs, aborted):
+        want, todo, by = set(aborted), list(aborted), {}
+        for t, d in pairs:
+            by.setdefault(d, []).append(t)
+        while todo:
+            for t in by.get(todo.pop(), []):
+                if t not in want:
+                    want.add(t)
+                    todo.append(t)
+        got = mvcc.cascading_abort(memory.rows(spark, pairs, "tx bigint, depends_on bigint"), memory.rows(spark, [(x,) for x in aborted], "tx bigint"))
+        assert [r[0] for r in got.orderBy("tx").collect()] == sorted(want)
+
+    for n in (1, 99, 100, 1000):
+        check([(i + 1, i) for i in range(n)], [0])
+    check([(i + 1, i) for i in range(1000)] + [(2000 + i, i) for i in range(0, 1000, 7)], [500])
+    check([(i, (i + 1) % 9) for i in range(9)] + [(20 + i, i) for i in range(9)] + [(40 + i, 41 + i) for i in range(50)] + [(90, 40)], [3])
+    check([(i, (i + 1) % 9) for i in range(9)] + [(20, 3)], [77])
+    check([(i, i + d) for i in range(12) for d in (1, 2)] + [(3, 3), (3, 3)], [13])
+    rng = random.Random(4)
+    for _ in range(3):
+        check([(rng.randrange(60), rng.randrange(60)) for _ in range(70)], [rng.randrange(60) for _ in range(2)])
     cycle = memory.rows(spark, [(1, 2), (2, 3), (3, 1), (5, 4)], "tx bigint, depends_on bigint")
     assert values(mvcc.cascading_abort(cycle, memory.rows(spark, [(1,)], "tx bigint"))) == [(1,), (2,), (3,)]
     assert values(mvcc.cascading_abort(cycle, memory.rows(spark, [], "tx bigint"))) == []
