@@ -22,20 +22,25 @@ def _mark(links: DataFrame) -> tuple[int, int]:
     return found[0], int(found[1] or 0)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _settled(links: DataFrame) -> bool:
+    """Whether all links, from greater to lesser nodes, lead to the root of their component at once."""
+    again = links.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    inner = links.join(links.select(F.col("v").alias("w")), F.col("u") == F.col("w"), "left_semi").select("u")
+    return again.unionAll(inner).isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame:
     """The component of every node that has a link: columns node and root, the least node.
 
     ``links`` has integer columns u and v in any order. Alternating star contraction: every node
     passes its least neighbour on to its greater neighbours, then to its lesser ones, until all links
-    of a component lead to its least node. Only the minimum of each node is aggregated, in part before
+    of a component lead to its least node, in rounds that grow with the logarithm of its diameter. Only the minimum of each node is aggregated, in part before
     the shuffle; a node with very many links is spread by the skew join, because both of its sides
     are written tables. Each round is written to shared storage, which also cuts the lineage.
     """
     now = materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(now)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0] and not _settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "least")
         large = both.join(small(least), F.col("u") == F.col("w")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -49,6 +54,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if then == mark:
             break
         mark = then
-    else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle.llm import sketch as sk
 from brindle.llm import text as tx
 from brindle.llm.components import components, small
-from brindle.session import bound_batches, materialize, release
+from brindle.session import bound_batches, materialize, release, scratch
 
 #: Shingles that one call of the sketch handles.
 SHINGLES_AT_ONCE = 1 << 15
@@ -56,14 +56,15 @@ def _sets(k: int):
 
 
 def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """A written table of pairs (a, b), with the sizes x and y of their sets and what these have in common."""
+    """A written table of the pairs (a, b) of a written table, with the sizes x and y of their sets and what these have in common."""
 
-    def side(name: str, size: str, items: str) -> DataFrame:
-        wanted = materialize(pairs.select(F.col(name).alias("_node")).distinct(), "side")
-        some = sets.join(small(wanted), F.col("node") == F.col("_node"), "left_semi")
+    def side(some: DataFrame, name: str, size: str, items: str) -> DataFrame:
         return some.select(F.col("node").alias(name), F.size("items").cast("bigint").alias(size), F.col("items").alias(items))
 
-    both = pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b")
+    wanted = materialize(pairs.select(F.col("b").alias("_node")).distinct(), "side")
+    one = side(sets, "a", "x", "xs").join(small(pairs.select("a", "b")), "a")
+    two = side(sets.join(small(wanted), F.col("node") == F.col("_node"), "left_semi"), "b", "y", "ys")
+    both = one.join(two, "b")
     return materialize(both.select("a", "b", "x", "y", F.size(F.array_intersect("xs", "ys")).cast("bigint").alias("common")), "common")
 
 
@@ -133,40 +134,56 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     Exact copies are one class before any pair is made. In each band's bucket every class is first
     compared with the bucket's least class only, so a bucket of n makes n pairs, however large. Buckets
     that this leaves in several components get a second centre, the member with the fewest shingles of
-    its own, and what is still apart then is compared pair by pair, so that no link is lost. Most of
-    these pairs are ruled out by an exact bound before they are made: of a set, m shingles occur in any
-    other set of the divided buckets, k of them in the centre's; so two sets have at most
-    min(k, k') + min(m - k, m' - k') in common. A heavily changed copy in a large group of copies has
-    too many shingles of its own to be linked with any of them. A pair is made in one bucket only.
+    its own. What is still apart then is compared pair by pair, so that no link is lost, but only members
+    outside of a bucket's largest component with others: work grows with their number times the bucket's.
+    Most of these pairs are ruled out by an exact bound: of a set, m shingles occur in any other set of the
+    divided buckets, k of them in the centre's; so two sets have at most min(k, k') + min(m - k, m' - k')
+    in common. A heavily changed copy in a large group of copies has too many shingles of its own to be
+    linked with any of them, and is left out before. A pair is made in one bucket only.
+
+    All intermediate tables are released; the two that the result is read from stay until the caller's
+    ``scratch`` ends.
 
     Defined results: a null or empty text, or one without words, has n_shingles 0, is linked with
-    nothing and has its own doc_id as component_id; a repeated doc_id has a row each time, by its own
-    text; a null doc_id takes part, but can't name a component: component_id is the smallest that is
-    not null, and null where there is none, and kept is then true. Otherwise kept is
-    doc_id = component_id.
+    nothing and has its own doc_id as component_id; a text of any length is read whole; a repeated doc_id
+    has a row each time, by its own text; a null doc_id takes part, but can't name a component:
+    component_id is the smallest that is not null, and null where there is none, and kept is then true.
+    Otherwise kept is doc_id = component_id. A similarity of exactly share / of is a link. An empty table
+    gives no rows, and columns other than doc_id and text may have any names.
     """
     if t != 128:
         raise ValueError("low bits are compared as two 64-bit numbers, so t has to be 128")
-    most_bits = 40
     bound_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("raw"), "text")
-    sketched = materialize(base.mapInArrow(_sketched(k, t, rows), _SKETCH).withColumn("uid", F.monotonically_increasing_id()), "sketches")
-    some = sketched.filter("n_shingles > 0")
-    once = some.groupBy("raw", "doc_id").agg(F.min("uid").alias("uid"), F.count("*").alias("times"))
-    classes = materialize(once.groupBy("raw").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), (F.max("times") > 1).alias("again")), "classes")
-    held = materialize(some.join(classes.select("node", "again"), F.col("uid") == F.col("node"), "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "bits", "bands", "doc_id", "raw"), "held")
+    with scratch() as keep:
+        base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("raw"), "text")
+        sketched = materialize(base.mapInArrow(_sketched(k, t, rows), _SKETCH).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+        ids = keep(materialize(sketched.select("doc_id", "raw", "n_shingles"), "ids"))
+        some = sketched.filter("n_shingles > 0")
+        once = some.groupBy("raw", "doc_id").agg(F.min("uid").alias("uid"), F.count("*").alias("times"))
+        classes = materialize(once.groupBy("raw").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), (F.max("times") > 1).alias("again")), "classes")
+        held = some.join(classes.select("node", "again"), F.col("uid") == F.col("node"), "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "bits", "bands", "doc_id", "raw")
+        held = materialize(held, "held")
+        release(sketched)
+        names = keep(_names(base, held, classes, k, share, of))
+    out = ids.join(names, (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
+
+def _names(base: DataFrame, held: DataFrame, classes: DataFrame, k: int, share: int, of: int, most_bits: int = 40) -> DataFrame:
+    """A written table of _raw and component_id, a row a class. Releases ``held``."""
     # buckets that more than one class shares
     keys = held.select(F.explode("bands").alias("key"), "node")
     least = materialize(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least"), "shared")
-    shared = materialize(keys.join(least, "key"), "buckets")
+    shared = materialize(keys.join(small(least), "key"), "buckets")
 
     # full sets of what is in them
-    wanted = shared.select("node").distinct()
-    wanted = materialize(held.join(wanted, "node", "left_semi").join(classes.select("node", "again"), "node").select("node", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "again", "n", "bits"), "wanted")
+    wanted = materialize(shared.select("node").distinct(), "members")
+    wanted = held.join(small(wanted), "node", "left_semi").join(classes.select("node", "again"), "node")
+    wanted = materialize(wanted.select("node", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "again", "n", "bits"), "wanted")
+    release(held, least)
     found = base.join(small(wanted.drop("n", "bits")), (F.col("raw") == F.col("_raw")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "again", "text")
-    items = found.mapInArrow(_sets(k), "node bigint, again boolean, items array<bigint>")
-    items = materialize(items, "items")
+    items = materialize(found.mapInArrow(_sets(k), "node bigint, again boolean, items array<bigint>"), "items")
     sets = items.filter("NOT again").unionByName(items.filter("again").dropDuplicates(["node"]))
 
     def known(df: DataFrame, side: str) -> DataFrame:
@@ -175,40 +192,41 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     # everyone against the least of the bucket
     stars = shared.filter("node <> least").select(F.col("node").alias("b"), F.col("least").alias("a")).distinct()
     stars = materialize(known(known(stars, "a"), "b").filter(_possible("a", "b", share, of, most_bits)).select("a", "b"), "stars")
-    links = _links(_common(stars, sets), share, of)
-    roots = materialize(components(links), "roots")
+    roots = materialize(components(_links(_common(stars, sets), share, of)), "roots")
 
     # the rest of the pairs in buckets that are not yet one component
     placed = shared.select("key", "node").join(small(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     divided = materialize(placed.join(small(_divided(placed)), "key", "left_semi").select("key", "node"), "divided")
-    own = sets.join(divided.select("node").distinct(), "node", "left_semi")
+    open_nodes = materialize(divided.select("node").distinct(), "open")
+    own = sets.join(small(open_nodes), "node", "left_semi")
     alone = own.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(F.count("*").alias("alone"))
-    able = known(own.select(F.col("node").alias("s")), "s").join(alone, F.col("s") == F.col("node"), "left").select("s", "sn", "sbits", (F.col("sn") - F.coalesce("alone", F.lit(0))).alias("sm"))
+    able = known(open_nodes.select(F.col("node").alias("s")), "s").join(alone, F.col("s") == F.col("node"), "left").select("s", "sn", "sbits", (F.col("sn") - F.coalesce("alone", F.lit(0))).alias("sm"))
     able = materialize(able.filter(of * F.col("sm") >= share * F.col("sn")), "able")
     rest = materialize(divided.join(small(able), F.col("node") == F.col("s")).drop("node"), "rest")
     # the member with the fewest shingles of its own is nearest to the text the others were made from
     centre = materialize(rest.groupBy("key").agg(F.max_by("s", F.struct(F.col("sm") / F.col("sn"), "s")).alias("centre")), "centres")
     rest = rest.join(small(centre), "key")
-    near = _common(rest.select(F.col("s").alias("a"), F.col("centre").alias("b")).distinct(), sets)
+    near = _common(materialize(rest.select(F.col("s").alias("a"), F.col("centre").alias("b")).distinct(), "near"), sets)
     roots = _merged(roots, _links(near, share, of))
     rest = rest.join(small(near.select(F.col("a").alias("s"), F.col("b").alias("centre"), F.col("common").alias("sk"))), ["s", "centre"])
     rest = rest.join(small(roots), F.col("s") == F.col("node"), "left").withColumn("sroot", F.coalesce("root", "s")).drop("node", "root")
     rest = materialize(rest.join(small(_divided(rest.withColumnRenamed("sroot", "root"))), "key", "left_semi"), "open")
+    main = rest.groupBy("key", "sroot").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("sroot", F.struct("n", "sroot")).alias("main"))
+    rest = rest.join(small(materialize(main, "main")), "key")
     rest = rest.join(rest.groupBy(F.col("s").alias("t")).agg(F.sort_array(F.collect_set("key")).alias("skeys")), F.col("s") == F.col("t"))
-    rest = materialize(rest.select("key", "s", "sroot", "sn", "sm", "sk", "sbits", "skeys"), "open")
-    one, two = (rest.select("key", *[F.col(f"s{c}").alias(f"{x}{c}") for c in ("", "root", "n", "m", "k", "bits", "keys")]) for x in "ab")
+    rest = materialize(rest.select("key", "s", "sroot", "sn", "sm", "sk", "sbits", "skeys", "main"), "open")
+    one, two = (rest.select("key", "main", *[F.col(f"s{c}").alias(f"{x}{c}") for c in ("", "root", "n", "m", "k", "bits", "keys")]) for x in "ab")
+    one = one.filter(F.col("aroot") != F.col("main")).drop("main")
     most = F.least("ak", "bk") + F.least(F.col("am") - F.col("ak"), F.col("bm") - F.col("bk"))
     bound = of * most >= share * (F.col("an") + F.col("bn") - most)
     first = F.array_min(F.array_intersect("akeys", "bkeys")) == one["key"]
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & bound & _possible("a", "b", share, of, most_bits) & first)
-    pairs = materialize(pairs.select("a", "b").join(small(stars), ["a", "b"], "left_anti"), "pairs")
+    turn = (F.col("broot") == F.col("main")) | (F.col("a") < F.col("b"))
+    pairs = one.join(two, (one["key"] == two["key"]) & turn & (F.col("aroot") != F.col("broot")) & bound & _possible("a", "b", share, of, most_bits) & first)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.join(small(stars), ["a", "b"], "left_anti"), "pairs")
     roots = _merged(roots, _links(_common(pairs, sets), share, of))
 
     ids = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(roots.join(small(materialize(ids, "ids")), "root").select("node", "component_id"), "named")
     names = classes.join(small(named), "node", "left").select(F.col("raw").alias("_raw"), F.coalesce("component_id", "first_id").alias("component_id"))
-    names = materialize(names, "names")
-    release(held, least, shared, wanted, items, divided, able, rest)
-    out = sketched.select("doc_id", "raw", "n_shingles").join(names, (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return materialize(names, "names")

@@ -35,9 +35,8 @@ def seeds(n: int, start: int = 0) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U) + U(start)) * U(0x9E3779B97F4A7C15))
 
 
-_BYTES = seeds(256, 1000)
-_BASE = int(seeds(1, 2000)[0]) | 1
 _PLACE = seeds(64, 3000) | U(1)
+_EIGHTS = seeds(64, 4000)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +94,11 @@ def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words in order, and the n + 1 offsets of the values among them."""
+    """Hashes of all lower-cased words in order, and the n + 1 offsets of the values among them.
+
+    Each eight bytes of a word are mixed with their place in it before they are added up.
+    """
     hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    power = np.ones(1, U)
     for at, to in _cuts(data, offsets):
         inside, start = _starts(data, offsets, at, to)
         first = np.flatnonzero(start)
@@ -107,13 +108,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         first = np.flatnonzero(start[inside])
         letters = LOWER[data[at:to][inside]]
         lengths = np.diff(first, append=len(letters))
-        if lengths.max() > len(power):
-            power = np.full(int(lengths.max()), _BASE, U)
-            power[0] = 1
-            power = np.multiply.accumulate(power)
-        value = _BYTES[letters]
-        value *= power[np.arange(len(letters)) - np.repeat(first, lengths)]
-        hashes.append(mix(np.add.reduceat(value, first) + lengths.astype(U)))
+        place = np.arange(len(letters)) - np.repeat(first, lengths)
+        eighth = place & 7
+        start = np.flatnonzero(eighth == 0)
+        eights = np.add.reduceat(letters.astype(U) << (eighth << 3).astype(U), start)
+        eights ^= _EIGHTS[np.minimum(place[start] >> 3, len(_EIGHTS) - 1)]
+        far = place[start] >> 3 >= len(_EIGHTS)
+        if far.any():
+            eights[far] ^= mix((place[start][far] >> 3).astype(U))
+        mix(eights)
+        hashes.append(mix(np.add.reduceat(eights, np.searchsorted(start, first)) + lengths.astype(U)))
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
 
 

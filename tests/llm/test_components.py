@@ -34,6 +34,13 @@ def test_shapes(spark):
     assert run(spark, links) == brute(links)
 
 
+def test_a_long_chain(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(10**6), 10_001)
+    links = list(zip(names, names[1:], strict=False))
+    assert run(spark, links) == sorted((x, min(names)) for x in names)
+
+
 def test_none(spark):
     assert run(spark, []) == []
     assert run(spark, [(3, 3)]) == []

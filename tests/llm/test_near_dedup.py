@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm.near_dedup import keep_one, near_duplicates
+from brindle.session import shared_folder
 from tests.llm.test_text import plain_shingles
 
 SCHEMA = "doc_id bigint, text string, raw int, node string, n_shingles string"
@@ -70,6 +72,17 @@ def test_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_tables_are_released(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    names = lambda: {p.name for p in folder.iterdir()}
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, text + f" {i % 3}" + " x y z" * (i % 5)) for i in range(50)], "doc_id bigint, text string")
+    df.groupBy().count().collect()
+    before = names() if folder.exists() else set()
+    near_duplicates(df).collect()
+    assert sorted(n.split("-")[0] for n in names() - before) == ["ids", "names"]
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -44,6 +44,17 @@ def test_words_and_shingles(monkeypatch, block):
     assert np.diff(at).tolist() == [len(set(plain_shingles(t))) for t in texts]
 
 
+def test_words_that_polynomials_mix_up():
+    """Words of a and b by the parity of bits, and the same with letters swapped, agree in any polynomial modulo 2^64."""
+    for n in (64, 512, 1024, 2048, 4096):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        hashes, _ = tx.words(*tx.utf8(pa.array([word, other, word[8:] + word[:8], word.upper()])))
+        assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[3]
+    far = ["x" * 5000 + a + "x" * 5000 + b for a in ("", "x" * 7 + "y", "y" + "x" * 7) for b in ("", "z")]
+    assert len(set(tx.words(*tx.utf8(pa.array(far)))[0].tolist())) == 6
+
+
 def test_sliced_and_null_columns():
     column = pa.array(["a b", None, "c", "d e f"])[1:]
     assert tx.word_counts(*tx.utf8(column)).tolist() == [0, 1, 3]
