@@ -7,16 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.sizes import GAP
-from brindle.session import materialize
+from brindle.llm.sizes import word_count
+from brindle.session import bound_batches, materialize, scratch
 
 #: Rows up to which the table of sources is broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def place(seed: int, doc_id: Column) -> Column:
-    """A document's place in its source's seeded order: a hash of its id as 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def sized(docs: DataFrame) -> DataFrame:
+    """A written table of doc_id, source, size in words and name, as ``plan`` takes it.
+
+    name is what orders documents: the doc_id, or without one the md5 of the text, so that rows without an id differ.
+    """
+    bound_batches(docs.sparkSession)
+    return materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), name_of(F.col("doc_id"), F.col("text")).alias("name")), "sizes")
+
+
+def name_of(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("bigint").cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+
+
+def place(seed: int, name: Column) -> Column:
+    """A document's place in its source's seeded order: a hash of its name as 32 hexadecimal digits."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
 
 
 def _numbered(totals: DataFrame) -> DataFrame:
@@ -61,7 +74,7 @@ def targets(totals: DataFrame, weights: Sequence[float], epochs: int) -> DataFra
 def plan(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int = 3, seed: int = 17, digits: int = 3) -> DataFrame:
     """How much of each source the mix takes, a row a source.
 
-    ``sizes`` has doc_id, source and size. Columns: source, source_size, target, whole (times that
+    ``sizes`` has source, size and name. Columns: source, source_size, target, whole (times that
     every document is taken), cut (documents whose place is before it are taken once more), part and
     unit (the document at the cut gives part of its unit words). The cut is found in two steps, by
     sums over ranges of places and then within the one range that holds it, so nothing sorts a source.
@@ -72,7 +85,7 @@ def plan(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int = 3
     goal = goal.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") + 0.5).cast("bigint") - F.col("whole") * F.col("source_size"))
     goal = materialize(goal.withColumn("rest", F.greatest(F.col("rest"), F.lit(0))), "goal")
 
-    placed = sizes.select("source", "size", place(seed, F.col("doc_id")).alias("h"))
+    placed = sizes.select("source", "size", place(seed, F.col("name")).alias("h"))
     ranges = placed.groupBy("source", F.substring("h", 1, digits).alias("r")).agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     ranges = ranges.select(F.col("source").alias("_s"), "r", "n", before.alias("before"))
@@ -91,42 +104,48 @@ def _few(table: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs``, which has doc_id, source and size, with source_size, target and taken.
+    """``docs``, which has source, size and name, with source_size, target and taken.
 
     ``mix`` is a written table of ``plan``. taken counts words, with repeats: whole times the size, and
     once more for documents before the source's cut; the one at the cut gives only what is still
-    missing, so that a source's words sum up to its rounded target. Rows that share the doc_id at the
+    missing, so that a source's words sum up to its rounded target. Rows that share the name at the
     cut give their parts in proportion.
     """
     m = _few(mix.select(F.col("source").alias("_source"), "source_size", "target", "whole", "cut", "part", "unit"))
-    h = place(seed, F.col("doc_id"))
+    h = place(seed, F.col("name"))
     more = F.when(h < F.col("cut"), F.col("size")).when(h == F.col("cut"), F.floor(F.col("size") * F.col("part") / F.col("unit")).cast("bigint")).otherwise(F.lit(0))
     out = docs.join(m, F.col("source").eqNullSafe(F.col("_source")))
     return out.select(*docs.columns, "source_size", "target", (F.col("whole") * F.col("size") + more).alias("taken"))
 
 
 def mixed_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int = 3, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target and taken for a written table of doc_id, source and size.
+    """doc_id, size, source_size, target and taken for a table that ``sized`` wrote.
 
-    Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own,
-    the last one; rows that repeat a doc_id are taken alike; an empty table gives none.
+    Defined results: a null text has size 0 and is taken 0 times; a text of any length counts whole; a null
+    source is a source of its own, the last one; rows that repeat a doc_id, or a text without one, are taken
+    alike, so no order of rows matters; an empty table gives none; other columns are left alone. The plan
+    and the sizes stay until the caller's ``scratch`` ends.
     """
-    mix = materialize(plan(sizes, weights, epochs, seed), "mix")
+    with scratch() as keep:
+        mix = keep(materialize(plan(sizes, weights, epochs, seed), "mix"))
     return taken(sizes, mix, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, sizes: DataFrame, size: Column, weights: Sequence[float] = (5, 2, 1), epochs: int = 3, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with the columns of ``docs``.
 
-    ``sizes`` is a written table of doc_id, source and size of ``docs``, and ``size`` the same measure
-    as an expression on ``docs``. A document taken in part, at most one a source, has the first words
-    of its text, parted by single spaces.
+    Documents stay whole: the one at its source's cut is taken once more if at least half of its words are
+    wanted, so a source's words are off its target by half of that document at most. Rows that share a name
+    at the cut are all taken or none.
+
+    Defined results: those of ``mixed_sizes``; a document without words is not in the mix; columns may have
+    any names.
     """
-    mix = materialize(plan(sizes, weights, epochs, seed), "mix")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart, as its columns may have any names
-    df = taken(docs.select(row, "doc_id", "source", size.alias("size")), mix, seed).filter("taken > 0")
-    n, t, text = F.col("size"), F.col("taken"), F.col("row.text")
-    df = df.withColumn("left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((t - 1) / n).cast("int")), lambda i: t - i * n)))
-    first = F.array_join(F.slice(F.split(F.regexp_replace(text, f"^{GAP}", ""), GAP), 1, F.col("left").cast("int")), " ")
-    text = F.when(F.col("left") < n, first).otherwise(text)
-    return df.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    with scratch() as keep:
+        sizes = sized(docs.select("doc_id", "source", "text"))
+        mix = keep(materialize(plan(sizes, weights, epochs, seed).withColumn("part", F.when(2 * F.col("part") >= F.col("unit"), F.col("unit")).otherwise(F.lit(0))), "mix"))
+    own = docs.select(row, "source", word_count("text").alias("size"), name_of(F.col("doc_id"), F.col("text")).alias("name"))
+    df = taken(own, mix, seed).filter("taken > 0")
+    df = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("taken") / F.col("size")).cast("int"))))
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

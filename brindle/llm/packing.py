@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.llm.components import small
 from brindle.llm.near_dedup import grouped
 from brindle.llm.sizes import word_count
-from brindle.session import materialize
+from brindle.session import materialize, scratch
 
 #: Documents of a shard, which one task packs; its memory is bounded by this.
 SHARD_DOCS = 4096
@@ -21,10 +24,11 @@ _PACKED = "doc_id bigint, piece int, start bigint, length bigint, bin_id bigint,
 class Bins:
     """Open bins by residual capacity.
 
-    Bin b has the capacity ``residual[b]`` left. ``by_residual[r]`` holds the bins with r left, in
-    order of opening, and bit r of ``mask`` tells whether there are any. ``sources[b]`` is a list of
-    bitmaps, one a level: a source's bit is set in the first j levels if j of its documents are in.
-    ``clusters[b]`` is the bitmap of duplicate clusters.
+    Bin b has the capacity ``residual[b]`` left and carries bitmaps: ``sources[b]`` is a list of them, one a
+    level, where a source's bit is set in the first j levels if j of its documents are in; ``clusters[b]``
+    has a bit for each duplicate cluster that is in. ``levels[r]`` is the bitmap of bins with r left, and bit
+    r of ``mask`` tells whether there are any. ``full`` and ``holding`` are the bins' bitmaps the other way
+    round, by source and by cluster, so that the search passes over all incompatible bins of a level at once.
     """
 
     def __init__(self, capacity: int, per_source: int):
@@ -32,50 +36,62 @@ class Bins:
         self.residual: list[int] = []
         self.sources: list[list[int]] = []
         self.clusters: list[int] = []
-        self.by_residual: dict[int, dict[int, None]] = {}
+        self.levels: dict[int, int] = {}
         self.mask = 0
+        self.full: dict[int, int] = {}
+        self.holding: dict[int, int] = {}
 
-    def _list(self, b: int) -> None:
-        r = self.residual[b]
-        self.by_residual.setdefault(r, {})[b] = None
-        self.mask |= 1 << r
+    def open(self, residual: int) -> int:
+        """A new bin."""
+        self.residual.append(residual)
+        self.sources.append([0] * self.per_source)
+        self.clusters.append(0)
+        return len(self.residual) - 1
 
     def fit(self, need: int, source: int, clusters: int) -> int:
         """The compatible bin with the least residual of need or more, the first opened of these; else a new one."""
-        source_bit, last = 1 << source, self.per_source - 1
+        blocked = self.full.get(source, 0)
+        for c in _bits(clusters):
+            blocked |= self.holding.get(c, 0)
         above = self.mask >> need << need
         while above:
-            r = (above & -above).bit_length() - 1
-            for b in self.by_residual[r]:
-                if not self.sources[b][last] & source_bit and not self.clusters[b] & clusters:
-                    return b
+            found = self.levels[(above & -above).bit_length() - 1] & ~blocked
+            if found:
+                return (found & -found).bit_length() - 1
             above &= above - 1
-        self.residual.append(self.capacity)
-        self.sources.append([0] * self.per_source)
-        self.clusters.append(0)
-        b = len(self.residual) - 1
-        self._list(b)
-        return b
+        return self.open(self.capacity)
 
     def put(self, b: int, need: int, source: int, clusters: int) -> int:
         """Puts a piece into a bin and returns its place there."""
-        r = self.residual[b]
-        held = self.by_residual[r]
-        del held[b]
-        if not held:
-            del self.by_residual[r]
+        r, bit = self.residual[b], 1 << b
+        left = self.levels.get(r, 0) & ~bit
+        if left:
+            self.levels[r] = left
+        else:
+            self.levels.pop(r, None)
             self.mask &= ~(1 << r)
-        for level, bits in enumerate(self.sources[b]):
-            if not bits >> source & 1:
-                self.sources[b][level] = bits | 1 << source
+        for level, held in enumerate(self.sources[b]):
+            if not held >> source & 1:
+                self.sources[b][level] = held | 1 << source
                 break
+        if self.sources[b][-1] >> source & 1:
+            self.full[source] = self.full.get(source, 0) | bit
         self.clusters[b] |= clusters
+        for c in _bits(clusters):
+            self.holding[c] = self.holding.get(c, 0) | bit
         self.residual[b] = r - need
         if r > need:
-            self._list(b)
+            self.levels[r - need] = self.levels.get(r - need, 0) | bit
+            self.mask |= 1 << r - need
         return self.capacity - r
 
 
+def _bits(bitmap: int) -> Iterator[int]:
+    while bitmap:
+        yield (bitmap & -bitmap).bit_length() - 1
+        bitmap &= bitmap - 1
+
+
 def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int) -> list[tuple[int, int, int, int, int, int]]:
     """(document, piece, start, length, bin, place) of all pieces, largest remainder first.
 
@@ -85,10 +101,7 @@ def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: in
     bins, out = Bins(capacity, per_source), []
     for d, size in enumerate(sizes):
         for piece in range(size // capacity):
-            bins.residual.append(0)
-            bins.sources.append([0] * per_source)
-            bins.clusters.append(0)
-            out.append((d, piece, piece * capacity, capacity, len(bins.residual) - 1, 0))
+            out.append((d, piece, piece * capacity, capacity, bins.open(0), 0))
     for d in sorted((d for d, size in enumerate(sizes) if size % capacity), key=lambda d: -(sizes[d] % capacity)):
         whole, need = divmod(sizes[d], capacity)
         b = bins.fit(need, sources[d], clusters[d])
@@ -112,11 +125,9 @@ def _packer(capacity: int, per_source: int):
                         clusters[i] |= 1 << bit
                     bit += 1
         found = pack(sizes, sources.tolist(), clusters, capacity, per_source)
-        empty = [(d, 0, 0, 0, -1, 0) for d, size in enumerate(sizes) if not size]
-        d, piece, start, length, bins, place = np.array(found + empty, np.int64).reshape(-1, 6).T
+        d, piece, start, length, bins, place = np.array(found, np.int64).reshape(-1, 6).T
         shard = table.column("shard")[0].as_py() << 32
-        ids = pa.array(bins + shard, mask=bins < 0)
-        return pa.table({"doc_id": table.column("doc_id").combine_chunks().take(pa.array(d)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length), "bin_id": ids, "place": pa.array(place)})
+        return pa.table({"doc_id": table.column("doc_id").combine_chunks().take(pa.array(d)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length), "bin_id": pa.array(bins + shard), "place": pa.array(place)})
 
     return run
 
@@ -129,11 +140,12 @@ def clustered(docs: DataFrame) -> DataFrame:
     words has none.
     """
     named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("doc_id"), "text")
-    names = grouped(named).filter("n_shingles > 0").groupBy(F.col("raw").alias("_raw")).agg(F.min("component_id").alias("cluster"))
-    names = materialize(names, "names")
-    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.unhex(F.md5("text")).alias("raw"))
-    sizes = materialize(sizes, "sizes")
-    return materialize(sizes.join(small(names), F.col("raw") == F.col("_raw"), "left").select("doc_id", "source", "size", "cluster"), "clustered")
+    with scratch() as keep:
+        names = grouped(named).filter("n_shingles > 0").groupBy(F.col("raw").alias("_raw")).agg(F.min("component_id").alias("cluster"))
+        names = materialize(names, "names")
+        sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.unhex(F.md5("text")).alias("raw"))
+        sizes = materialize(sizes, "sizes")
+        return keep(materialize(sizes.join(small(names), F.col("raw") == F.col("_raw"), "left").select("doc_id", "source", "size", "cluster"), "clustered"))
 
 
 def best_fit(sizes: DataFrame, capacity: int = 2048, per_source: int = 4, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
@@ -145,13 +157,29 @@ def best_fit(sizes: DataFrame, capacity: int = 2048, per_source: int = 4, shard_
     doc_id, piece, start and length in words, bin_id and place (first word in the bin). A document of
     ``capacity`` or more is cut into whole bins and a remainder.
 
-    Documents are dealt to shards by a hash of id and cluster, so that a source with a third of all
-    rows is spread evenly and a shard has about ``shard_docs``; each is packed on its own in one task.
-    Copies land in one shard only by chance, and then in different bins.
+    Documents are dealt to shards by a hash of id, size and cluster, so that a source or a cluster with a
+    third of all rows is spread evenly and a shard has about ``shard_docs``; each is packed on its own in one
+    task. Equal rows, of which there may be as many, are counted first and dealt to shards in parts. Copies
+    that meet in a shard are in different bins of it.
 
-    Defined results: a document without words has one piece of length 0 without a bin; a null source is
-    a source of its own; repeated rows are documents of their own and, as copies, in different bins.
+    Defined results: a document without words has one piece of length 0 without a bin, and takes no part in
+    the packing; a null source is a source of its own, and a null doc_id a document of its own each time;
+    repeated rows are documents of their own and, as copies, in different bins; documents of one size are
+    placed in order of doc_id, and of several tightest bins the first opened is taken; a document of any
+    length is cut into whole bins; an empty table gives no rows; columns beyond those named are left out.
     """
-    shards = max(1, -(-sizes.count() // shard_docs))
-    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "cluster"), F.lit(shards))
-    return sizes.select("doc_id", "source", "size", "cluster", shard.alias("shard")).groupBy("shard").applyInArrow(_packer(capacity, per_source), _PACKED)
+    keys = ("doc_id", "source", "size", "cluster")
+    some = sizes.select(*keys, F.monotonically_increasing_id().alias("row")).filter("size > 0")
+    shards = max(1, -(-some.count() // shard_docs))
+    most = max(1, shard_docs // 16)
+    heavy = some.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    heavy = materialize(heavy.select(*[F.col(c).alias(f"_{c}") for c in keys], F.ceil(F.col("n") / most).alias("parts")), "heavy")
+    salt = F.lit(0).cast("bigint")
+    if not heavy.isEmpty():
+        some = some.join(small(heavy), reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]), "left")
+        salt = F.pmod(F.col("row"), F.coalesce("parts", F.lit(1)))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "cluster", salt), F.lit(shards))
+    packed = some.select(*keys, shard.alias("shard")).groupBy("shard").applyInArrow(_packer(capacity, per_source), _PACKED)
+    zero = F.lit(0).cast("bigint")
+    empty = sizes.filter("size <= 0 OR size IS NULL").select("doc_id", F.lit(0).alias("piece"), zero.alias("start"), zero.alias("length"), F.lit(None).cast("bigint").alias("bin_id"), zero.alias("place"))
+    return packed.unionAll(empty)

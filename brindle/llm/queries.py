@@ -9,10 +9,9 @@ from brindle.llm.licenses import TEMPLATES, licensed
 from brindle.llm.media import media_digests
 from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.quality import classified
-from brindle.llm.sizes import measured
 from brindle.llm.vector_dedup import near_vectors
 from brindle.llm.warc import archived
-from brindle.session import materialize, read_table
+from brindle.session import read_table
 
 QUERIES = {}
 SQL = {}
@@ -72,7 +71,7 @@ def op4_best_fit_packing(spark, d):
 
 MIXING_SQL = r"""
 WITH RECURSIVE z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h FROM documents),
 s AS (SELECT source, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w
     FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source)),
 -- rounds of reshaping: the sources held at three times their size so far
@@ -101,8 +100,7 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN upto <=
 @query(MIXING_SQL)
 def op8_source_mixing(spark, d):
     """All documents mixed to weights 5, 2, 1."""
-    docs = read_table(spark, d, "documents")
-    return mixing.mixed_sizes(materialize(measured(docs).select("doc_id", "source", "size"), "sizes"))
+    return mixing.mixed_sizes(mixing.sized(read_table(spark, d, "documents")))
 
 
 NEAR_VECTORS_SQL = """

@@ -6,8 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import mixing
-from brindle.llm.sizes import word_count
-from brindle.session import materialize
 
 SCHEMA = "doc_id bigint, source string, text string, size string, taken int, target string"
 
@@ -27,7 +25,12 @@ def fill(sizes, weights=(5, 2, 1), epochs=3):
         held |= {s: epochs * sizes[s] for s in over}
 
 
-def brute(rows):
+def place(doc_id, text):
+    name = hashlib.md5((text or "").encode()).hexdigest() if doc_id is None else doc_id
+    return hashlib.md5(f"17:{name}".encode()).hexdigest()
+
+
+def brute(rows, whole_documents=False):
     size = [len((t or "").split()) for _, _, t in rows]
     sizes = {}
     for (_, s, _), n in zip(rows, size, strict=True):
@@ -39,10 +42,12 @@ def brute(rows):
         units = {}
         for i, (d, t, _) in enumerate(rows):
             if t == s:
-                units.setdefault(hashlib.md5(f"17:{'' if d is None else d}".encode()).hexdigest(), []).append(i)
+                units.setdefault(place(d, rows[i][2]), []).append(i)
         for h in sorted(units):
             unit = sum(size[i] for i in units[h])
             part = min(max(rest, 0), unit)
+            if whole_documents:
+                part = unit if 2 * part >= unit else 0
             rest -= unit
             for i in units[h]:
                 out.append((rows[i][0], size[i], sizes[s], round(float(goal[s]), 6), whole * size[i] + (size[i] * part // unit if unit else 0)))
@@ -53,12 +58,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, s, t, "x", 1, "y") for d, s, t in rows], SCHEMA)
 
 
-def sized(df):
-    return materialize(df.select("doc_id", "source", word_count("text").alias("size")))
-
-
 def run(spark, rows):
-    got = mixing.mixed_sizes(sized(frame(spark, rows)))
+    got = mixing.mixed_sizes(mixing.sized(frame(spark, rows)))
     return sorted(((a, b, c, round(t, 6), n) for a, b, c, t, n in (tuple(r) for r in got.collect())), key=repr)
 
 
@@ -76,7 +77,7 @@ def test_against_rounds(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, "a", "x y z"), (1, "a", "x y z"), (2, "a", None), (3, "b", ""), (4, None, "p q"), (None, "c", "r s t u"), (None, "c", "r"), (5, "é", "w " * 4000), (6, "d", "w " * 50000), (7, "", "one")]
+    rows = [(1, "a", "x y z"), (1, "a", "x y z"), (2, "a", None), (3, "b", ""), (4, None, "p q"), (None, "c", "r s t u"), (None, "c", "r"), (None, "c", "r"), (None, "c", None), (5, "é", "w " * 4000), (6, "d", "w " * 50000), (7, "", "one")]
     assert run(spark, rows) == brute(rows)
 
 
@@ -90,16 +91,16 @@ def test_documents_of_the_mix(spark):
     rows = [(i, f"s{i % 5 and i % 3}", " ".join(f"t{rng.randrange(99)}" for _ in range(rng.randrange(1, 40)))) for i in range(120)] + [(500, "s0", " \n a  b ")]
     df = frame(spark, rows)
     want = {}
-    for d, _, _, _, taken in brute(rows):
+    for d, _, _, _, taken in brute(rows, True):
         want[d] = want.get(d, 0) + taken
-    out = mixing.mixed_documents(df, sized(df), word_count("text"))
+    out = mixing.mixed_documents(df)
     assert out.columns == df.columns
     text, got = {d: t for d, _, t in rows}, {}
     for r in out.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
-        assert text[r["doc_id"]].split()[: len(r["text"].split())] == r["text"].split() and (r["size"], r["taken"], r["target"]) == ("x", 1, "y")
+        assert text[r["doc_id"]] == r["text"] and (r["size"], r["taken"], r["target"]) == ("x", 1, "y")
     assert got == {d: n for d, n in want.items() if n}
-    again = mixing.mixed_documents(df.repartition(7), sized(df.repartition(3)), word_count("text"))
+    again = mixing.mixed_documents(df.repartition(7))
     assert sorted(out.collect()) == sorted(again.collect())
 
 

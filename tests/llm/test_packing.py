@@ -1,4 +1,9 @@
 import random
+import time
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import packing
 from brindle.llm.sizes import measured
@@ -16,9 +21,9 @@ def slow_pack(sizes, sources, clusters, capacity, per_source):
             out.append((d, piece, piece * capacity, capacity, len(bins) - 1, 0))
     for d in sorted((d for d in range(len(sizes)) if sizes[d] % capacity), key=lambda d: -(sizes[d] % capacity)):
         need = sizes[d] % capacity
-        fit = [(r, opened, i) for i, (r, s, c, opened) in enumerate((b[0], b[1], b[2], b[3] if len(b) > 3 else 0) for b in bins) if r >= need and s.count(sources[d]) < per_source and not any(clusters[d] & x for x in c)]
+        fit = [(r, i) for i, (r, s, c) in enumerate(bins) if r >= need and s.count(sources[d]) < per_source and not any(clusters[d] & x for x in c)]
         if fit:
-            i = min(fit)[2]
+            i = min(fit)[1]
         else:
             bins.append([capacity, [], []])
             i = len(bins) - 1
@@ -27,7 +32,6 @@ def slow_pack(sizes, sources, clusters, capacity, per_source):
         b[0] -= need
         b[1].append(sources[d])
         b[2].append(clusters[d])
-        b[3:] = [len(out)]  # bins of one residual are in the order in which they got it
     return out
 
 
@@ -99,6 +103,25 @@ def test_repeated_rows_are_documents_of_their_own(spark):
     assert [r["length"] for r in got] == [3] * 3 and len({r["bin_id"] for r in got}) == 3
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_many_equal_rows(spark, doc_id):
+    n = 100_000
+    sizes = spark.range(0, n, 1, 4).select(F.lit(doc_id).cast("bigint").alias("doc_id"), F.lit("hot").alias("source"), F.lit(10).cast("bigint").alias("size"), F.lit(5).cast("bigint").alias("cluster"))
+    sizes = materialize(sizes.unionAll(sizes.limit(500).withColumn("size", F.lit(0).cast("bigint"))))
+    began = time.time()
+    got = packing.best_fit(sizes).groupBy("bin_id", (F.col("bin_id") / 2**32).cast("int").alias("shard"), "length").count().collect()
+    assert time.time() - began < 20
+    assert all(r["count"] == 1 for r in got if r["length"]) and sum(r["count"] for r in got if r["length"]) == n
+    assert [r["count"] for r in got if not r["length"]] == [500]
+    shards = Counter(r["shard"] for r in got if r["length"])
+    assert max(shards.values()) < 8192
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    got = run(spark, [(1, "a", "w " * 300_000), (2, "a", "w " * 300_001)], capacity=2048)
+    assert sum(r["length"] for r in got) == 600_001 and max(r["length"] for r in got) == 2048
+
+
 def test_rows_of_one_document_stay_apart(spark):
     got = run(spark, [(1, "a", "x y z"), (1, "a", "x y"), (2, "b", "u v"), (None, "c", "k"), (None, "c", "l")], capacity=64)
     bins = [r["bin_id"] for r in got if r["doc_id"] == 1]
