@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import language, mixing, near_dedup, packing, quality
-from brindle.llm.sizes import measured, word_count
+from brindle.llm.sizes import measured
 from brindle.session import materialize, read_table, release, scratch
 
 #: A language whose probability is below this counts as not recognized.
@@ -19,13 +19,22 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognizable language."""
+    """Rejects documents without a recognizable language.
+
+    These are texts that are null, empty or without letters, and those whose best language scores less than
+    ``LEAST_LANGUAGE_SCORE``; if no document has a language to learn from, all go. Rows are judged one by
+    one, so repeated rows share their fate; a text of any length is read whole.
+    """
     lang, score = language.language_of(F.col("text"), language.train(docs))
     return docs.filter((lang != "und") & (score >= LEAST_LANGUAGE_SCORE))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the quality classifier predicts to be bad."""
+    """Rejects documents that the quality classifier predicts to be bad, at a score below 0.5.
+
+    Null and empty texts are scored like others. If no trusted positive is left to learn from, all texts
+    have 0.5 and stay. A null doc_id is never a label; rows are judged one by one.
+    """
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
     return docs.filter(quality.quality_scorer(model)(F.col("text")) >= 0.5)
 
@@ -40,14 +49,24 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples documents so that the sources have their target weights."""
-    sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    return mixing.mixed_documents(docs, sizes, word_count("text"))
+    """Repeats and samples whole documents so that the sources have their target weights.
+
+    A null source is a source of its own; a document without words is not in the mix; rows without a
+    doc_id are told apart by their texts, and equal rows are taken alike; no documents give none.
+    """
+    return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences."""
-    return packing.best_fit(materialize(measured(docs), "sizes"))
+    """Packs the mix into sequences.
+
+    A document's duplicate cluster is the component that the third stage found, which is the id of the one
+    document that it kept of each, or without one a hash of the words. Repeats are cut and placed whole by
+    whole; a document without words, of which the mix has none, would have a piece without a bin; a null
+    source is a source of its own; no documents give no pieces.
+    """
+    sizes = measured(docs).withColumn("cluster", F.coalesce("doc_id", "cluster"))
+    return packing.best_fit(materialize(sizes, "sizes"))
 
 
 STAGES = [
