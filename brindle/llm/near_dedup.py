@@ -151,6 +151,21 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     Otherwise kept is doc_id = component_id. A similarity of exactly share / of is a link. An empty table
     gives no rows, and columns other than doc_id and text may have any names.
     """
+    ids, names = _grouped(docs, k, share, of, t, rows)
+    out = ids.join(small(names), (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def components_by_text(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int = 128, rows: int = 4) -> DataFrame:
+    """A written table of _raw, the md5 of a text, and component_id, a row for each different text that
+    occurs again or is linked; see ``grouped``."""
+    with scratch() as keep:
+        return keep(_grouped(docs, k, share, of, t, rows)[1])
+
+
+def _grouped(docs: DataFrame, k: int, share: int, of: int, t: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, raw and n_shingles of all rows, and the components by text."""
     if t != 128:
         raise ValueError("low bits are compared as two 64-bit numbers, so t has to be 128")
     bound_batches(docs.sparkSession)
@@ -160,18 +175,15 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
         ids = keep(materialize(sketched.select("doc_id", "raw", "n_shingles"), "ids"))
         some = sketched.filter("n_shingles > 0")
         once = some.groupBy("raw", "doc_id").agg(F.min("uid").alias("uid"), F.count("*").alias("times"))
-        classes = materialize(once.groupBy("raw").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), (F.max("times") > 1).alias("again")), "classes")
+        classes = materialize(once.groupBy("raw").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), (F.max("times") > 1).alias("again"), F.sum("times").alias("copies")), "classes")
         held = some.join(classes.select("node", "again"), F.col("uid") == F.col("node"), "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "bits", "bands", "doc_id", "raw")
         held = materialize(held, "held")
         release(sketched)
-        names = keep(_names(base, held, classes, k, share, of))
-    out = ids.join(names, (F.col("raw") == F.col("_raw")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+        return ids, keep(_names(base, held, classes, k, share, of))
 
 
 def _names(base: DataFrame, held: DataFrame, classes: DataFrame, k: int, share: int, of: int, most_bits: int = 40) -> DataFrame:
-    """A written table of _raw and component_id, a row a class. Releases ``held``."""
+    """A written table of _raw and component_id, a row for each class of several rows or with links. Releases ``held``."""
     # buckets that more than one class shares
     keys = held.select(F.explode("bands").alias("key"), "node")
     least = materialize(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least"), "shared")
@@ -228,5 +240,6 @@ def _names(base: DataFrame, held: DataFrame, classes: DataFrame, k: int, share:
 
     ids = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(roots.join(small(materialize(ids, "ids")), "root").select("node", "component_id"), "named")
-    names = classes.join(small(named), "node", "left").select(F.col("raw").alias("_raw"), F.coalesce("component_id", "first_id").alias("component_id"))
+    names = classes.join(small(named.withColumn("linked", F.lit(True))), "node", "left").filter("linked OR copies > 1")
+    names = names.select(F.col("raw").alias("_raw"), F.coalesce("component_id", "first_id").alias("component_id"))
     return materialize(names, "names")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import small
-from brindle.llm.near_dedup import grouped
+from brindle.llm.near_dedup import components_by_text
 from brindle.llm.sizes import word_count
 from brindle.session import materialize, scratch
 
@@ -141,11 +141,11 @@ def clustered(docs: DataFrame) -> DataFrame:
     """
     named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("doc_id"), "text")
     with scratch() as keep:
-        names = grouped(named).filter("n_shingles > 0").groupBy(F.col("raw").alias("_raw")).agg(F.min("component_id").alias("cluster"))
-        names = materialize(names, "names")
+        names = components_by_text(named)
         sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.unhex(F.md5("text")).alias("raw"))
         sizes = materialize(sizes, "sizes")
-        return keep(materialize(sizes.join(small(names), F.col("raw") == F.col("_raw"), "left").select("doc_id", "source", "size", "cluster"), "clustered"))
+        cluster = F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id", F.xxhash64("raw"))).alias("cluster")
+        return keep(materialize(sizes.join(small(names), F.col("raw") == F.col("_raw"), "left").select("doc_id", "source", "size", cluster), "clustered"))
 
 
 def best_fit(sizes: DataFrame, capacity: int = 2048, per_source: int = 4, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components, small
-from brindle.session import materialize, release
+from brindle.session import materialize, release, scratch
 
-#: Vectors of a block; a task holds two blocks and a matrix of counts between them.
-BLOCK_ROWS = 1024
+#: Vectors of a block; a task holds two blocks. A label's vectors are copied once for each of its blocks.
+BLOCK_ROWS = 4096
+#: Rows and columns of a matrix of counts between parts of two blocks.
+PART_ROWS = 1024
 #: Chance that a pair at the least similarity is not counted often enough.
 MISS = 1e-7
 
@@ -88,9 +90,9 @@ def _linked(cosine: float, projections: int, least: int, width: float, seed: int
             b = a if same else np.flatnonzero(part[rows] == key[2].as_py())
             if not len(a) or not len(b):
                 continue
-            for lo in range(0, len(a), BLOCK_ROWS):
-                for at in range(0, len(b), BLOCK_ROWS):
-                    qa, qb = a[lo : lo + BLOCK_ROWS], b[at : at + BLOCK_ROWS]
+            for lo in range(0, len(a), PART_ROWS):
+                for at in range(lo if same else 0, len(b), PART_ROWS):
+                    qa, qb = a[lo : lo + PART_ROWS], b[at : at + PART_ROWS]
                     i, j = np.nonzero(collisions(p[qa], p[qb], width) >= least)
                     i, j = qa[i], qb[j]
                     if same:
@@ -124,40 +126,48 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, projections: int = 64
     a label with a third of all rows so makes more tasks, not larger ones. A task returns counts of links
     and a spanning forest, not pairs: a row a vector at most. As near and far pairs differ in how often
     they collide, not whether, all pairs of blocks of a label are counted: the work grows with the
-    square of a label's size.
+    square of a label's size, and what is shuffled with that square divided by ``block_rows``. Tables of
+    several quantized projections would retrieve fewer pairs, but each vector's number of links asks for
+    every linked pair once, and a group of near copies would have to be sent from all tables as pairs.
 
-    Defined results: a vector that is null, empty, zero or has a component that is null, NaN or
+    All intermediate tables are released but the two that the result is read from, which stay until the
+    caller's ``scratch`` ends.
+
+    Defined results: an empty table gives no rows; columns beyond those named are left out; a cosine equal to
+    the limit is a link; a vector that is null, empty, zero or has a component that is null, NaN or
     infinite, and one without a label, is linked with nothing; vectors of different lengths are not
     linked; a repeated vec_id has a row each time, by its own vector; a null vec_id takes part but can't
     name a component, and is kept only if its component has no other name.
     """
-    width, least = calibrate(cosine, projections)
-    v = F.col("embedding")
-    fine = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.cast("array<double>").alias("vector"), F.col("label").alias("label")).withColumn("embedding", F.col("vector"))
-    rows = rows.select("vec_id", "label", "vector", F.coalesce(fine, F.lit(False)).alias("fine"))
-    # 0.0 and -0.0 are one value
-    plain = F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
-    rows = rows.select("vec_id", "fine", "label", F.when(F.col("fine"), plain).alias("vector"))
-    rows = materialize(rows.withColumn("class", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256))).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    classes = materialize(rows.filter("fine").groupBy("class").agg(F.min("uid").alias("node"), F.min("vec_id").alias("first_id"), F.count("*").alias("times")), "classes")
-    held = rows.join(classes.select("node", "times"), F.col("uid") == F.col("node")).select("node", "times", "label", "vector")
-    held = materialize(held, "held")
-    blocks = held.groupBy(F.col("label").alias("_label")).agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias("parts"))
-    blocks = small(materialize(blocks, "parts"))
-    part = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts")).cast("int")
-    dealt = held.join(blocks, F.col("label") == F.col("_label")).withColumn("part", part)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "times", "vector")
-    found = dealt.groupBy("label", "p", "q").applyInArrow(_linked(cosine, projections, least, width, seed), "node bigint, root bigint, links bigint")
-    found = materialize(found, "links")
-    roots = materialize(components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))), "roots")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    ids = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(roots.join(small(materialize(ids, "ids")), "root").select("node", "component_id"), "named")
-    known = classes.join(links, "node", "left").join(small(named), "node", "left")
-    known = materialize(known.select(F.col("class").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")), "names")
-    release(held, found)
-    out = rows.select("vec_id", "class").join(known, F.col("class") == F.col("c"), "left")
+    with scratch() as keep:
+        width, least = calibrate(cosine, projections)
+        v = F.col("embedding")
+        fine = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+        rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.cast("array<double>").alias("vector"), F.col("label").alias("label")).withColumn("embedding", F.col("vector"))
+        rows = rows.select("vec_id", "label", "vector", F.coalesce(fine, F.lit(False)).alias("fine"))
+        # 0.0 and -0.0 are one value
+        plain = F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+        rows = rows.select("vec_id", "fine", "label", F.when(F.col("fine"), plain).alias("vector"))
+        rows = materialize(rows.withColumn("class", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256))).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+        own = keep(materialize(rows.select("vec_id", "class"), "ids"))
+        classes = materialize(rows.filter("fine").groupBy("class").agg(F.min("uid").alias("node"), F.min("vec_id").alias("first_id"), F.count("*").alias("times")), "classes")
+        held = rows.join(classes.select("node", "times"), F.col("uid") == F.col("node")).select("node", "times", "label", "vector")
+        held = materialize(held, "held")
+        release(rows)
+        blocks = held.groupBy(F.col("label").alias("_label")).agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias("parts"))
+        blocks = small(materialize(blocks, "parts"))
+        part = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts")).cast("int")
+        dealt = held.join(blocks, F.col("label") == F.col("_label")).withColumn("part", part)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "times", "vector")
+        found = dealt.groupBy("label", "p", "q").applyInArrow(_linked(cosine, projections, least, width, seed), "node bigint, root bigint, links bigint")
+        found = materialize(found, "links")
+        roots = materialize(components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))), "roots")
+        links = found.groupBy("node").agg(F.sum("links").alias("links"))
+        ids = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+        named = materialize(roots.join(small(materialize(ids, "ids")), "root").select("node", "component_id"), "named")
+        known = classes.join(links, "node", "left").join(small(named), "node", "left")
+        known = keep(materialize(known.select(F.col("class").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")), "names"))
+    out = own.join(known, F.col("class") == F.col("c"), "left")
     component = F.when(F.col("class").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

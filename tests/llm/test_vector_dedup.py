@@ -60,6 +60,16 @@ def test_empty(spark):
     assert vd.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_parts_of_blocks_and_hot_labels(spark, monkeypatch):
+    """One label has nearly all rows, in more parts than one; many near copies of one vector are counted, not sent as pairs."""
+    monkeypatch.setattr(vd, "PART_ROWS", 32)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=16)
+    rows = [(i, (hot + rng.normal(size=16) * (0.05 if i % 3 == 0 else 1.5)).tolist(), 0 if i < 280 else 1) for i in range(300)]
+    for block in (64, 4096):
+        assert run(spark, rows, block_rows=block) == brute(rows)
+
+
 def test_calibration_holds_for_pairs_at_the_limit():
     rng = np.random.default_rng(0)
     width, least = vd.calibrate(0.93, 64)
