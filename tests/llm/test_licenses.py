@@ -62,7 +62,46 @@ def test_templates_need_a_shingle(spark):
         licenses.licensed(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), {"short": "two words"})
 
 
+def test_fragments(spark):
+    """Three quarters of a template in pieces of three shingles each, which no band is certain to find."""
+    rng = random.Random(9)
+    templates = {f"t{i}": filler(rng, 5000).replace("w", f"t{i}x") for i in range(3)}
+    templates = {k: " ".join(f"{w}{j}" for j, w in enumerate(t.split()[:200])) for k, t in templates.items()}
+    rows = []
+    for name, text in templates.items():
+        w = text.split()
+        for copy in range(100):
+            # a shingle is left out after each three: its text is there only as overlapping pieces
+            pieces = [" ".join(w[i : i + 7]) for i in range(copy % 4, len(w) - 6, 4)]
+            rows.append((len(rows), f" {name}gap{copy} ".join(pieces)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in licenses.licensed(df, templates).collect()), key=repr)
+    want = brute(rows, templates)
+    assert len(want) >= 150 and len(got) >= 0.999 * len(want) and set(got) <= set(want)
+
+
+def plan_of(spark, templates=None):
+    plans = []
+    held, licenses.materialize = licenses.materialize, lambda df, name: plans.append((name, df)) or held(df, name)
+    try:
+        licenses.licensed(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), templates)
+    finally:
+        licenses.materialize = held
+    return {name: df._jdf.queryExecution().executedPlan().toString() for name, df in plans}
+
+
 def test_no_python_in_the_plan(spark):
-    df = licenses.licensed(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Exchange" not in plan
+    plans = plan_of(spark)
+    assert set(plans) == {"items", "keys", "hits", "licenses"}
+    assert not any("Python" in p or "Arrow" in p for p in plans.values())
+    assert "hashpartitioning" not in plans["hits"] and "BroadcastHashJoin" in plans["hits"] and "lambda" not in plans["hits"]
+
+
+def test_the_plan_does_not_grow_with_the_library(spark):
+    rng = random.Random(3)
+    many = {f"made-{i}": filler(rng, 60) for i in range(500)}
+    few = plan_of(spark, {"made": many["made-0"]})
+    assert abs(len(plan_of(spark, many)["hits"]) - len(few["hits"])) < 200
+    df = spark.createDataFrame([(i, f"x {many[f'made-{i}']} y") for i in range(0, 500, 7)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.licensed(df, many).collect()}
+    assert got == {(i, f"made-{i}") for i in range(0, 500, 7)}
