@@ -137,12 +137,16 @@ def licensed(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
         texts = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), words(F.col("text")).alias("w"))
         w, p = F.col("w"), F.col("p")
         places = shingled(texts).withColumn("_hash", F.xxhash64(*[F.get(w, p + j) for j in range(SHINGLE)]))
-        hits = places.join(small(items), (F.col("_hash") == F.col("hash")) & (F.col("item") == shingle_text(w, p)))
+        # of the text only the words of the windows around a hit go on
         start = p - p % STRIDE
-        windows = F.concat(F.array(*band_keys(w, start)), F.when(start >= STRIDE, F.array(*band_keys(w, start - STRIDE))).otherwise(F.array().cast("array<bigint>")))
-        hits = hits.select("uid", "doc_id", "license", "shingles", "item", "p", F.when(F.col("short"), F.array(single_key(F.col("hash")))).otherwise(windows).alias("keys"))
+        near = F.slice(w, F.greatest(start - STRIDE, F.lit(0)) + 1, F.lit(STRIDE + WINDOW - 1 + SHINGLE))
+        hits = places.join(small(items), F.col("_hash") == F.col("hash")).select("uid", "doc_id", "license", "shingles", "short", "hash", "item", "p", near.alias("near"))
         hits = materialize(hits, "hits")
-        retrieved = hits.select("uid", F.explode("keys").alias("key")).distinct().join(small(keys), "key").select(F.col("uid").alias("_uid"), F.col("license").alias("_license")).distinct()
+        before, near = F.when(start >= STRIDE, F.lit(STRIDE)).otherwise(F.lit(0)), F.col("near")
+        windows = F.concat(F.array(*band_keys(near, before)), F.when(start >= STRIDE, F.array(*band_keys(near, F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
+        keys_of = F.when(F.col("short"), F.array(single_key(F.col("hash")))).otherwise(windows)
+        hits = hits.filter(F.col("item") == shingle_text(near, before + p % STRIDE))
+        retrieved = hits.select("uid", F.explode(keys_of).alias("key")).distinct().join(small(keys), "key").select(F.col("uid").alias("_uid"), F.col("license").alias("_license")).distinct()
         checked = hits.join(retrieved, (F.col("uid") == F.col("_uid")) & (F.col("license") == F.col("_license")), "left_semi")
         found = checked.groupBy("uid", "license").agg(F.first("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"), F.countDistinct("item").alias("found"), F.min("p").cast("bigint").alias("word"))
         return keep(materialize(found.filter(F.col("found") >= LEAST * F.col("shingles")).select("doc_id", "license", "found", "shingles", "word"), "licenses"))
