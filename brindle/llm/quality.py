@@ -14,89 +14,96 @@ from brindle.llm import text as tx
 from brindle.llm.sample import fold
 from brindle.session import bound_batches
 
-#: Names of the features of a text, in order.
-FEATURES = (
-    "log words", "letters", "upper", "digits", "blanks", "line ends", "stops", "marks", "noise", "bars", "other bytes",
-    "word length", "distinct words", "repeated neighbours", "second neighbours", "top byte", "noisy words", "loud words", "bare bars", "byte entropy",
-)
-BYTES_AT_ONCE = 1 << 18
-
-_CLASS = np.full(256, 7)
+#: Buckets of character 3-grams, and as many of words and pairs of words, as a power of two.
+GRAM_BITS = 11
+#: Random directions that a sampled text's n-grams are reduced to before the driver gets them, and how many
+#: principal ones of these the model uses.
+DIRECTIONS, COMPONENTS = 256, 8
+#: Names of the features besides n-grams, in order.
+SURFACE = ("log words", "letters", "upper", "digits", "blanks", "line ends", "stops", "marks", "symbols", "other bytes", "word length", "distinct words", "repeated neighbours", "byte entropy")
+BYTES_AT_ONCE, ROWS_AT_ONCE = 1 << 18, 64
+
+_CLASS = np.full(256, 6)
 _CLASS[[*range(97, 123), *range(65, 91)]] = 0
-_CLASS[128:] = 8
+_CLASS[128:] = 7
 _CLASS[48:58] = 1
 _CLASS[[0x20, 9, 11, 12, 13]] = 2
 _CLASS[10] = 3
 _CLASS[[ord(c) for c in ".,"]] = 4
 _CLASS[[ord(c) for c in "!?;:'\"-()"]] = 5
-_CLASS[ord("|")] = 6
-_ONE = np.eye(9)[_CLASS]
-_NOISE = _CLASS == 7
-_LETTER = (_CLASS == 0) | (_CLASS == 8)
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
+_ONE = np.eye(8)[_CLASS]
+#: Digits are alike, and blanks are.
+_ALPHABET = np.arange(256, dtype=np.uint32)
+_ALPHABET[48:58] = 48
+_ALPHABET[[0x20, 9, 11, 12, 13]] = 32
 
 
-def _by_text(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.searchsorted(np.flatnonzero(marks), offsets))
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The features of whole texts, a row each: shares of kinds of bytes and words, and repetition."""
+def surface(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Shares of kinds of bytes, sizes and repetition of whole texts, a row each."""
     n = len(offsets) - 1
-    out = np.zeros((n, len(FEATURES)))
+    out = np.zeros((n, len(SURFACE)))
     if not n:
         return out
     counts = np.stack([np.bincount(data[a:b], minlength=256) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]).astype(float)
     size = np.maximum(counts.sum(axis=1), 1)
     kinds = counts @ _ONE / size[:, None]
-    hashes, at = tx.words(data, offsets)
     w = np.diff(at)
     words = np.maximum(w, 1)
     owner = np.repeat(np.arange(n), w)
-    same = lambda k: np.bincount(owner[k:][(hashes[k:] == hashes[:-k]) & (owner[k:] == owner[:-k])], minlength=n) if len(hashes) > k else np.zeros(n)
-    noise, letter, upper = _NOISE[data], _LETTER[data], _UPPER[data]
-    edge = np.zeros(len(data), bool)
-    edge[offsets[:-1][offsets[:-1] < len(data)]] = True
-    after = np.zeros(len(data), bool)  # letters that follow an upper-case one
-    after[1:] = upper[1:] & upper[:-1] & ~edge[1:]
-    noisy = np.zeros(len(data), bool)  # a letter or stop and then noise
-    noisy[1:] = noise[1:] & ~noise[:-1] & ~edge[1:]
-    bar = data == ord("|")
-    bare = np.zeros(len(data), bool)
-    if len(data) > 2:
-        bare[1:-1] = bar[1:-1] & tx.SPACE[data[:-2]] & tx.SPACE[data[2:]]
     p = counts / size[:, None]
     out[:, 0] = np.log1p(w)
     out[:, 1] = kinds[:, 0]
     out[:, 2] = counts[:, 65:91].sum(axis=1) / size
-    out[:, 3] = kinds[:, 1]
-    out[:, 4] = kinds[:, 2]
-    out[:, 5] = kinds[:, 3]
-    out[:, 6] = kinds[:, 4]
-    out[:, 7] = kinds[:, 5]
-    out[:, 8] = kinds[:, 7]
-    out[:, 9] = kinds[:, 6]
-    out[:, 10] = kinds[:, 8]
-    out[:, 11] = (size - counts[:, tx.SPACE].sum(axis=1)) / words
-    out[:, 12] = np.diff(tx.distinct(hashes, at)[1]) / words
-    out[:, 13] = same(1) / words
-    out[:, 14] = same(2) / words
-    out[:, 15] = np.delete(p, np.flatnonzero(tx.SPACE), axis=1).max(axis=1)
-    out[:, 16] = _by_text(noisy, offsets) / words
-    out[:, 17] = _by_text(after, offsets) / words
-    out[:, 18] = _by_text(bare, offsets) / words
-    out[:, 19] = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1)
-    # small shares tell as much as large ones
-    squeeze = [2, 3, 5, 7, 8, 9, 13, 14, 16, 17, 18]
+    out[:, 3:10] = kinds[:, 1:]
+    out[:, 10] = (size - counts[:, tx.SPACE].sum(axis=1)) / words
+    out[:, 11] = np.diff(tx.distinct(hashes, at)[1]) / words
+    if len(hashes) > 1:
+        out[:, 12] = np.bincount(owner[1:][(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])], minlength=n) / words
+    out[:, 13] = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1)
+    squeeze = [2, 3, 5, 7, 8, 12]  # small shares tell as much as large ones
     out[:, squeeze] = np.log1p(50 * out[:, squeeze])
     return out
 
 
+def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of hashed character 3-grams, and of words and pairs of words, in each text.
+
+    The scalar product of two rows is the Bhattacharyya coefficient of what the texts consist of.
+    """
+    n, size = len(offsets) - 1, 1 << GRAM_BITS
+    code = _ALPHABET[data]
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    inside = row[:-2] == row[2:]
+    gram = (code[:-2] << np.uint32(16) | code[1:-1] << np.uint32(8) | code[2:])[inside]
+    place = row[:-2][inside] * size + (gram * np.uint32(2654435761) >> np.uint32(32 - GRAM_BITS))
+    owner = np.repeat(np.arange(n), np.diff(at))
+    pair = owner[1:] == owner[:-1]
+    both = np.concatenate([hashes, tx.mix(hashes[:-1] * tx.U(3) + hashes[1:])[pair]]) >> tx.U(64 - GRAM_BITS)
+    other = np.concatenate([owner, owner[1:][pair]]) * size + both.astype(np.int64)
+    parts = [np.bincount(x, minlength=n * size).reshape(n, size).astype(np.float32) for x in (place, other)]
+    return np.hstack([np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in parts])
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of texts with their n-grams and surface features, of bounded size."""
+    for a, b in tx.groups(offsets, BYTES_AT_ONCE):
+        for i in range(a, b, ROWS_AT_ONCE):
+            j = min(b, i + ROWS_AT_ONCE)
+            part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            hashes, at = tx.words(part, own)
+            yield i, j, grams(part, own, hashes, at), surface(part, own, hashes, at)
+
+
+def directions() -> np.ndarray:
+    """Fixed random directions of n-grams."""
+    return np.random.default_rng(23).standard_normal((2 << GRAM_BITS, DIRECTIONS)).astype(np.float32) / np.float32(np.sqrt(DIRECTIONS))
+
+
 @dataclass
 class Model:
-    """A network with one hidden layer on standardized features, and the prior it was trained with."""
+    """A network with one hidden layer on standardized inputs: components of n-grams by ``basis``, and surface features."""
 
+    basis: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -109,16 +116,16 @@ class Model:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, grams: np.ndarray, surface: np.ndarray) -> np.ndarray:
         """Between 0 and 1; higher is better text."""
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+        return _sigmoid(self.margin(np.hstack([grams @ self.basis, surface])))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4, seed: int = 3, naive: bool = False) -> Model:
+def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 8, steps: int = 600, batch: int = 1024, rate: float = 0.01, decay: float = 0.03, seed: int = 3, naive: bool = False) -> Model:
     """Minimizes the non-negative unbiased risk (Kiryo and others, 2017).
 
     The risk is prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)]) with the sigmoid loss
@@ -153,7 +160,7 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
             m[i] = 0.9 * m[i] + 0.1 * gr
             v[i] = 0.999 * v[i] + 0.001 * gr * gr
             w[i] = w[i] - rate * (0.3 + 0.7 * (1 - step / steps)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, w[0], w[1], w[2], float(w[3][0]), prior)
+    return Model(np.zeros((0, 0)), mean, scale, w[0], w[1], w[2], float(w[3][0]), prior)
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3, splits: int = 11) -> float:
@@ -162,16 +169,14 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3,
     A classifier of positives against unlabelled rows is trained on one half of each. On the other
     halves, the share of unlabelled rows above a threshold over that of positives bounds the prior from
     above wherever the threshold is; the ratio where it is least, with a margin for chance, is the
-    estimate. The mean over several splits varies less, which matters where positives are few. A margin
-    of 1 / (4 sqrt(n)) for n positives is added, as too low a prior rejects good texts and too high a
-    one lets some bad ones pass.
+    estimate. The mean over several splits varies less, which matters where positives are few.
     """
     found = []
     for split in range(splits):
         rng = np.random.default_rng([seed, split])
         p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
         a, b = len(p) // 2, len(u) // 2
-        model = fit_risk(p[:a], u[:b], 0.5, naive=True, seed=seed + split, steps=600)
+        model = fit_risk(p[:a], u[:b], 0.5, naive=True, seed=seed + split, hidden=24, decay=1e-4)
         sp, su = np.sort(model.margin(p[a:])), np.sort(model.margin(u[b:]))
         slack = np.sqrt(np.log(40) / 2 / len(sp)) + np.sqrt(np.log(40) / 2 / len(su))
         best, least = 1.0, np.inf
@@ -180,15 +185,30 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3,
             if qp > 0 and (qu + slack) / qp < least:
                 least, best = (qu + slack) / qp, qu / qp
         found.append(min(best, 1.0))
-    return float(np.clip(np.mean(found) + 0.25 / np.sqrt(len(positive)), 0.05, 0.99))
+    return float(np.clip(np.mean(found), 0.05, 0.99))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reduce = directions()
     for batch in batches:
-        data, offsets = tx.utf8(batch.column("text"))
-        for a, b in tx.groups(offsets, BYTES_AT_ONCE):
-            x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([batch.column("trusted")[a:b], pa.array(list(x))], ["trusted", "x"])
+        for i, j, g, x in blocks(*tx.utf8(batch.column("text"))):
+            rows = [r.tobytes() for r in np.hstack([g @ reduce, x.astype(np.float32)])]
+            yield pa.RecordBatch.from_arrays([batch.column("trusted")[i:j], pa.array(rows, pa.binary())], ["trusted", "x"])
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """Learns from rows of reduced n-grams and surface features, in this order.
+
+    The principal components of the n-grams of all these texts, which need no labels, are the inputs, with
+    the surface features; the prior is estimated, and then the risk is minimized.
+    """
+    both = np.vstack([positive, unlabelled])[:, :DIRECTIONS]
+    value, vector = np.linalg.eigh(np.cov(both.T))
+    basis = vector[:, ::-1][:, :COMPONENTS]
+    p, u = (np.hstack([x[:, :DIRECTIONS] @ basis, x[:, DIRECTIONS:]]) for x in (positive, unlabelled))
+    model = fit_risk(p, u, estimate_prior(p, u))
+    model.basis = (directions() @ basis).astype(np.float32)
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 9) -> Model | None:
@@ -196,7 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 9) -
 
     Positives are the documents whose quality is 1, in rows with crc32(doc_id) mod 3 other than 1;
     unlabelled ones are any documents. The share of positives among the latter is estimated, not
-    given. The executors reduce each whole text to its features before the driver gets it.
+    given. The executors reduce each whole text to ``DIRECTIONS`` and some numbers, 1 KB, before the driver
+    gets it.
     """
     bound_batches(docs.sparkSession)
     good = labels.filter((F.col("quality") == 1) & (fold(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").alias("_good")).distinct()
@@ -207,12 +228,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 9) -
     chosen = good.filter(place("_good", seed) < min(1.0, most / n_good))
     rows = docs.select("doc_id", "text")
     trusted = rows.join(chosen, F.col("doc_id") == F.col("_good"), "left_semi").select(F.lit(True).alias("trusted"), "text")
-    web = rows.filter(place("doc_id", seed + 1) < min(1.0, most / n_docs)).select(F.lit(False).alias("trusted"), "text")
-    got = [(r["trusted"], tuple(r["x"])) for r in trusted.unionAll(web).mapInArrow(_features, "trusted boolean, x array<double>").collect()]
-    p, u = (np.array(sorted(x for t, x in got if t is kind)) for kind in (True, False))
+    web = rows.filter(place(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")), seed + 1) < min(1.0, most / n_docs)).select(F.lit(False).alias("trusted"), "text")
+    got = sorted((r["trusted"], bytes(r["x"])) for r in trusted.unionAll(web).mapInArrow(_sampled, "trusted boolean, x binary").collect())
+    p, u = (np.array([np.frombuffer(x, np.float32) for t, x in got if t is kind], np.float64) for kind in (True, False))
     if len(p) < 4 or len(u) < 4:
         return None
-    return fit_risk(p, u, estimate_prior(p, u))
+    return fit(p, u)
 
 
 def quality_scorer(model: Model | None):
@@ -224,17 +245,25 @@ def quality_scorer(model: Model | None):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        data, offsets = tx.utf8(text)
-        out = [np.zeros(0)]
-        for a, b in tx.groups(offsets, BYTES_AT_ONCE):
-            x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            out.append(np.full(b - a, 0.5) if model is None else model.scores(x))
-        return pa.array(np.concatenate(out))
+        if model is None:
+            return pa.array(np.full(len(text), 0.5))
+        out = [model.scores(g, x) for _, _, g, x in blocks(*tx.utf8(text))]
+        return pa.array(np.concatenate([np.zeros(0), *out]).astype(np.float64))
 
     return score
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for all documents, learned from those not held out."""
+    """doc_id, held_out, score and predicted for all documents, learned from those not held out.
+
+    The inputs are hashed character 3-grams, words and pairs of words of the whole text, by their principal
+    components, and a few shares of kinds of bytes; nothing else of a row is looked at.
+
+    Defined results: null and empty texts have the score of a text without n-grams; a text of any length is
+    scored whole; equal texts have equal scores, so repeated rows do; a score of exactly 0.5 counts as 1; a
+    null doc_id is not held out and never a label; a doc_id with several labels is trusted if one of them is
+    1; without documents there are no rows, and without trusted positives all scores are 0.5; other columns
+    may have any names.
+    """
     out = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), quality_scorer(train(docs, labels))(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -44,6 +44,44 @@ def test_language_without_anything_to_learn(spark):
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
 
 
+def test_scores_from_the_full_kernel():
+    """With all training texts as landmarks, the batched product gives what kernel ridge regression does by its definition."""
+    import pyarrow as pa
+
+    from brindle.llm import text as tx
+
+    rng = np.random.default_rng(3)
+    syllables = {"xx": ["ba", "to", "ri"], "yy": ["ke", "shu", "mo"], "zz": ["ba", "mo", "lin"]}
+    labels = [c for c in syllables for _ in range(8)]
+    texts = ["".join(rng.choice(syllables[c] + [" "]) for _ in range(30)) for c in labels]
+    x = language.presence(*tx.utf8(pa.array(texts)))
+    model = language.fit(np.packbits(x.astype(bool), axis=1), labels, landmarks=24)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    sets = [grams(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    # ridge with an intercept that isn't penalized, on features whose scalar products are the kernel
+    for text in ["batori batori", "shumoke mo", "linba mo linba", "q"]:
+        row = np.array([kernel(grams(text), b) for b in sets])
+        out = []
+        for c in model.classes:
+            y = np.where(np.array(labels) == c, 1.0, -1.0)
+            
+            alpha = np.linalg.lstsq(np.block([[k + 8e-3 * np.eye(24), np.ones((24, 1))], [np.ones((1, 24)), np.zeros((1, 1))]]), np.append(y, 0), rcond=None)[0]
+            out.append(row @ alpha[:-1] + alpha[-1])
+        e = np.exp(language.SHARPNESS * (np.array(out) - max(out)))
+        got = model.scores(language.presence(*tx.utf8(pa.array([text]))))[0]
+        assert np.allclose(got, e / e.sum(), atol=0.02)
+
+
+def test_language_ties(spark):
+    """Classes learned from the same texts tie; the first by name is taken, in any order of rows."""
+    rows = [(i, f"la {i % 7} le", "bb" if i % 2 else "aa") for i in range(60)] + [(100, "la le", None)] * 2
+    for r in (rows, rows[::-1]):
+        got = {x["lang_pred"] for x in language.identified(spark.createDataFrame([(i, t, "aa" if n == "aa" else n) for i, t, n in r], "doc_id bigint, text string, lang string")).filter("doc_id = 100").collect()}
+        assert len(got) == 1 and got <= {"aa", "bb"}
+
+
 def test_kernel_counts_common_ngrams():
     import pyarrow as pa
 
@@ -79,15 +117,74 @@ def test_prior_is_estimated():
         got = quality.estimate_prior(good[:1000], mixed)
         assert abs(got - prior) < 0.08
         model = quality.fit_risk(good[:1000], mixed, got)
-        assert (model.scores(good[-500:]) >= 0.5).mean() > 0.95 and (model.scores(bad[-500:]) < 0.5).mean() > 0.9
+        assert (model.margin(good[-500:]) >= 0).mean() > 0.95 and (model.margin(bad[-500:]) < 0).mean() > 0.9
+
+
+def test_risk_is_minimized():
+    """The fitted network's non-negative risk, computed from its definition, against other networks and a brute-force search."""
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0, 1, (900, 1)), rng.normal(4, 1, (900, 1))
+    p, u = good[:300], np.vstack([good[300:780], bad[:120]])
+
+    def risk(margin):
+        loss = lambda z: 1 / (1 + np.exp(z))
+        gp, gu = margin(p), margin(u)
+        return 0.8 * loss(gp).mean() + max(0.0, loss(-gu).mean() - 0.8 * loss(-gp).mean())
+
+    model = quality.fit_risk(p, u, 0.8, decay=0.0, steps=3000)
+    steps = [risk(lambda x, c=c, k=k: k * (c - x[:, 0])) for c in np.linspace(-2, 6, 81) for k in (1, 3, 10, 30)]
+    assert risk(model.margin) < min(steps) + 0.02
+    z = np.clip((u - model.mean) / model.scale, -6, 6)
+    slow = [sum(np.tanh(sum(z[i, k] * model.w1[k, h] for k in range(1)) + model.b1[h]) * model.w2[h] for h in range(len(model.w2))) + model.b2 for i in range(50)]
+    assert np.allclose(model.margin(u[:50]), slow)
+
+
+def test_scores_against_a_plain_count():
+    """n-grams, components and scores of texts, counted one by one."""
+    import pyarrow as pa
+
+    from brindle.llm import text as tx
+
+    texts = ["The cat 12 sat", "", "a", "été été été | x", "The  the THE"]
+    data, offsets = tx.utf8(pa.array(texts))
+    (_, _, g, x), *rest = quality.blocks(data, offsets)
+    assert not rest and g.shape == (5, 2 << quality.GRAM_BITS) and x.shape == (5, len(quality.SURFACE))
+
+    def count(text):
+        out = np.zeros(2 << quality.GRAM_BITS)
+        b = [48 if 48 <= c <= 57 else 32 if c in b" \t\n\v\f\r" else c for c in text.encode()]
+        for i in range(len(b) - 2):
+            out[((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 32 - quality.GRAM_BITS] += 1 / (len(b) - 2)
+        h = [int(v) for v in tx.words(*tx.utf8(pa.array([text])))[0]]
+        items = h + [int(tx.mix(np.array([(a * 3 + c) % 2**64], np.uint64))[0]) for a, c in zip(h, h[1:], strict=False)]
+        for v in items:
+            out[(1 << quality.GRAM_BITS) + (v >> 64 - quality.GRAM_BITS)] += 1 / len(items)
+        return np.sqrt(out)
+
+    assert np.allclose(g, [count(t) for t in texts], atol=1e-6)
+    rng = np.random.default_rng(0)
+    k = quality.COMPONENTS + len(quality.SURFACE)
+    model = quality.Model(rng.normal(size=(g.shape[1], quality.COMPONENTS)), rng.normal(size=k), np.ones(k), rng.normal(size=(k, 3)), rng.normal(size=3), rng.normal(size=3), 0.1, 0.5)
+    for t, got in zip(texts, model.scores(g, x), strict=True):
+        i = texts.index(t)
+        z = np.clip(np.concatenate([count(t) @ model.basis, x[i]]) - model.mean, -6, 6)
+        assert np.isclose(got, 1 / (1 + np.exp(-(np.tanh(z @ model.w1 + model.b1) @ model.w2 + model.b2))), atol=1e-4)
+
+
+def test_few_positives_keep_good_texts(spark, docs):
+    labels = read_table(spark, DATA, "labels")
+    some = labels.filter((F.col("quality") == 1) & (quality.fold(F.col("doc_id"), 3) != 1)).orderBy(F.xxhash64("doc_id")).limit(40)
+    score = quality.quality_scorer(quality.train(docs, some))(F.col("text"))
+    good = docs.join(labels.filter("quality = 1").join(some, "doc_id", "left_anti"), "doc_id").select((score < 0.5).cast("int").alias("gone"))
+    assert good.agg(F.avg("gone")).first()[0] <= 0.03
 
 
 def test_quality_odd_rows(spark, docs):
     labels = read_table(spark, DATA, "labels")
-    more = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "words"), (10**6 + 2, "word " * 60000), (10**6 + 2, "word " * 60000)], "doc_id bigint, text string")
+    more = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, None), (None, "words"), (10**6 + 2, "word " * 60000), (10**6 + 2, "word " * 60000)], "doc_id bigint, text string")
     both = docs.select("doc_id", "text").unionByName(more).withColumn("score", F.lit("x"))
     got = quality.classified(both, labels.withColumn("text", F.lit(0)))
     assert got.count() == both.count() and got.filter("score is null or score < 0 or score > 1").count() == 0
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    assert quality.classified(more, empty).filter("score = 0.5 and predicted = 1").count() == 5
+    assert quality.classified(more, empty).filter("score = 0.5 and predicted = 1").count() == 6
     assert quality.classified(more.limit(0), labels).collect() == []
