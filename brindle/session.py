@@ -82,7 +82,7 @@ def qualified(spark: SparkSession, folder: str) -> str:
 _WRITTEN: list[DataFrame] = []
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table.
 
     This cuts the lineage with files that survive the loss of any executor, and gives the
@@ -90,7 +90,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
     _WRITTEN.append(out)
