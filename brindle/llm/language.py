@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import text as tx
 from brindle.llm.sample import fold, per_class
-from brindle.session import bound_batches
+from brindle.session import bound_batches, scratch
 
 #: Buckets that n-grams are hashed to, as a power of two.
 BUCKET_BITS = 14
@@ -113,16 +113,17 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float
     return Model(classes, lm.T @ (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
 
 
-def train(docs: DataFrame, per_class_rows: int = 600, seed: int = 5) -> Model:
-    """Learns from at most about ``per_class_rows`` texts of each language.
+def train(docs: DataFrame, per_class_rows: int = 600, all_rows: int = 12_000, seed: int = 5) -> Model:
+    """Learns from at most about ``per_class_rows`` texts of each language and ``all_rows`` in all.
 
     Only texts with a language, of rows whose crc32(doc_id) mod 5 isn't 0, are used. The executors
     reduce each whole text to one bit a bucket, 2 KB, before the driver gets it.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    some = per_class(rows, "lang", per_class_rows, seed).select("lang", F.lower("text").alias("text"))
-    got = sorted((r["lang"], bytes(r["bits"])) for r in some.mapInArrow(_presence_bits, "lang string, bits binary").collect())
+    with scratch():
+        some = per_class(rows, "lang", per_class_rows, all_rows, seed).select("lang", F.lower("text").alias("text"))
+        got = sorted((r["lang"], bytes(r["bits"])) for r in some.mapInArrow(_presence_bits, "lang string, bits binary").collect())
     order = np.random.default_rng(seed).permutation(len(got))
     bits = np.frombuffer(b"".join(got[i][1] for i in order), np.uint8).reshape(len(got), -1) if got else np.zeros((0, 1 << BUCKET_BITS >> 3), np.uint8)
     return fit(bits, [got[i][0] for i in order])
@@ -158,6 +159,11 @@ def language_of(text: Column, model: Model) -> tuple[Column, Column]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for all documents, learned from those not held out."""
+    """doc_id, held_out, lang_pred and score for all documents, learned from those not held out.
+
+    Defined results: those of ``language_of``; equal texts have equal results, so repeated rows do; of
+    languages with equal scores the first by name is taken; a text of any length is read whole; a null
+    doc_id is not held out; an empty table gives no rows; other columns may have any names.
+    """
     lang, score = language_of(F.col("text"), train(docs))
     return docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), lang.alias("lang_pred"), score.alias("score"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import text as tx
-from brindle.session import bound_batches
+from brindle.session import bound_batches, materialize, scratch
 
 U = np.uint64
 #: Payloads are padded with blanks to a multiple of this.
@@ -649,9 +649,15 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as a JPEG file and reads the files back.
+    """Stores every text as a JPEG file in a column of a written table and reads the files back from there.
+
+    The files are deleted when they are described; ``stored_media`` and ``tensors`` give columns to keep.
 
     Defined results: a null or empty text is 192 blanks with n_bytes 0; equal texts have equal files and
-    features; repeated rows have a row each.
+    features, so repeated rows and ties do; repeated rows have a row each; a null doc_id is kept; a text of
+    any length up to a picture's limit of 65535 rows of 16 x 65535 samples is stored whole, in one file; an
+    empty table gives no rows; other columns, whatever their names, are left out.
     """
-    return described(stored_media(docs))
+    with scratch() as keep:
+        stored = materialize(stored_media(docs), "media", "zstd")
+        return keep(materialize(described(stored), "digests"))

@@ -17,19 +17,20 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.session import bound_batches, materialize, release, shared_folder
+from brindle.errors import ConfigError
+from brindle.session import bound_batches, materialize, qualified, scratch, shared_folder
 
-#: Payload bytes after which a writer starts another archive.
+#: Bytes of records after which a writer starts another archive, so that an archive's index is bounded, too.
 ARCHIVE_BYTES = 64 << 20
 #: Bytes read or inflated at once.
 CHUNK = 1 << 20
 #: The date of records, fixed so that archives are alike in each run.
 DATE = "2000-01-01T00:00:00Z"
 
-_MANIFEST = "path string, records bigint, payload bigint"
+_MANIFEST = "path string, records bigint, bytes bigint"
 _INDEXED = "path string, index string, records bigint"
 _READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, sound boolean"
 
@@ -171,7 +172,7 @@ def _writer(folder: str, level: int, archive_bytes: int):
             out.write(z.flush())
             out.close()
             _move(system, path)
-            return pa.RecordBatch.from_pydict({"path": [path], "records": [records], "payload": [size]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("payload", pa.int64())]))
+            return pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "revisit")), strict=True):
@@ -179,8 +180,9 @@ def _writer(folder: str, level: int, archive_bytes: int):
                 if out is None:
                     path, z, records, size = f"{base}/{uuid.uuid4().hex}.warc.gz", zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                     out = system.open_output_stream(path + ".part", compression=None)
-                out.write(z.compress(record(page_id, url, payload, refers_to, revisit)))
-                records, size = records + 1, size + len(payload)
+                made = record(page_id, url, payload, refers_to, revisit)
+                out.write(z.compress(made))
+                records, size = records + 1, size + len(made)
                 if size >= archive_bytes:
                     yield close()
                     out = None
@@ -272,22 +274,34 @@ def archived(pages: DataFrame, least_bytes: int = 0, folder: str | None = None)
     """Writes a record for each page, normalizes the archives and reads them back.
 
     Returns page_id, payload_bytes, payload_digest, record_type and refers_to, a row a page. A record's
-    payload is the page's html in UTF-8. The whole-file streams are deleted once normalized.
+    payload is the page's html in UTF-8. The whole-file streams are deleted once normalized; the normalized
+    archives stay in ``folder``, or are deleted once read if no folder is given. A folder without a scheme is on
+    the cluster's default file system, and one that pyarrow can't reach is an error.
 
     Defined results: a null html has an empty payload; a null URL is about:blank; a page_id that occurs
     again with the same payload is a response each time if it is the least; a null page_id revisits the
-    least one of its payload, and is a response if there is none.
+    least one of its payload, and is a response if there is none; pages and URLs of any length are kept
+    whole; an empty table gives no rows and no archives; other columns, whatever their names, are left out.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    folder = folder if "://" in folder else folder.replace("file:", "file://", 1)
-    whole = write_archives(roles(pages, least_bytes), f"{folder}/streams")
-    single = normalize_archives(whole, f"{folder}/records")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/streams")
+    own = folder is None
+    folder = qualified(spark, folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowException, OSError) as e:
+        raise ConfigError(f"archives can't be written to {folder}: {e}") from e
+    with scratch() as keep:
+        whole = write_archives(roles(pages, least_bytes), f"{folder}/streams")
+        single = normalize_archives(whole, f"{folder}/records")
+        _delete(spark, f"{folder}/streams")
+        found = read_archives(single, f"{folder}/records")
+        broken = F.assert_true(F.col("sound"), F.lit("a payload read back differs from its digest"))
+        out = keep(materialize(found.filter(broken.isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records"))
+    if own:
+        _delete(spark, folder)
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(whole)
-    found = read_archives(single, f"{folder}/records")
-    broken = F.assert_true(F.col("sound"), F.lit("a payload read back differs from its digest"))
-    return found.filter(broken.isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -7,7 +7,11 @@ from pathlib import Path
 
 import pytest
 
+from py4j.protocol import Py4JJavaError
+
+from brindle.errors import ConfigError
 from brindle.llm import warc
+from brindle.session import shared_folder
 
 SCHEMA = "page_id bigint, url string, html string, payload string"
 
@@ -93,5 +97,20 @@ def test_files_on_disk(spark, tmp_path):
     assert warc.read_archives(single, folder).filter("sound").count() == 20
 
 
+def test_where_archives_go(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://h/{i}", "", "x") for i in range(300)], SCHEMA).repartition(1)
+    top = Path(shared_folder(spark).removeprefix("file://"))
+    before = {p.name for p in top.iterdir()} if top.exists() else set()
+    assert warc.archived(df).count() == 300
+    assert [p.split("-")[0] for p in {p.name for p in top.iterdir()} - before] == ["records"]
+    assert warc.archived(df, folder=f"{tmp_path}/kept").count() == 300
+    assert list((tmp_path / "kept" / "records").glob("*.idx")) and not (tmp_path / "kept" / "streams").exists()
+    many = warc.write_archives(warc.roles(df), f"file://{tmp_path}/small", archive_bytes=10_000)
+    assert many.count() > 5  # empty payloads fill archives, too
+    for wrong in ("viewfs://cluster/x", "nothing://x/y"):
+        with pytest.raises((ConfigError, Py4JJavaError)):
+            warc.archived(df, folder=wrong)
+
+
 def test_empty(spark):
     assert warc.archived(spark.createDataFrame([], SCHEMA)).collect() == []
