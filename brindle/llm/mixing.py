@@ -145,7 +145,9 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epoch
     with scratch() as keep:
         sizes = sized(docs.select("doc_id", "source", "text"))
         mix = keep(materialize(plan(sizes, weights, epochs, seed).withColumn("part", F.when(2 * F.col("part") >= F.col("unit"), F.col("unit")).otherwise(F.lit(0))), "mix"))
-    own = docs.select(row, "source", word_count("text").alias("size"), name_of(F.col("doc_id"), F.col("text")).alias("name"))
+    # not deterministic for the optimizer, which would else count a text's words again for each use, in workers of their own
+    count = word_count.asNondeterministic()
+    own = docs.select(row, "source", count("text").alias("size"), name_of(F.col("doc_id"), F.col("text")).alias("name"))
     df = taken(own, mix, seed).filter("taken > 0")
     df = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("taken") / F.col("size")).cast("int"))))
     return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
