@@ -14,7 +14,7 @@ from brindle.llm import text as tx
 from brindle.llm.sample import fold
 from brindle.session import bound_batches
 
-#: Buckets of character 3-grams, and as many of words and pairs of words, as a power of two.
+#: Buckets of 3-grams of characters, and as many of words and pairs of words, as a power of two.
 GRAM_BITS = 11
 #: Random directions that a sampled text's n-grams are reduced to before the driver gets them, and how many
 #: principal ones of these the model uses.
@@ -32,10 +32,13 @@ _CLASS[10] = 3
 _CLASS[[ord(c) for c in ".,"]] = 4
 _CLASS[[ord(c) for c in "!?;:'\"-()"]] = 5
 _ONE = np.eye(8)[_CLASS]
-#: Digits are alike, and blanks are.
-_ALPHABET = np.arange(256, dtype=np.uint32)
-_ALPHABET[48:58] = 48
-_ALPHABET[[0x20, 9, 11, 12, 13]] = 32
+#: Shapes of characters: letters are alike but for their case, digits are, and blanks are. So a language that
+#: the trusted texts lack isn't taken for bad, as it would be by its words.
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[[*range(97, 123), *range(128, 256)]] = 97
+_SHAPE[65:91] = 65
+_SHAPE[48:58] = 48
+_SHAPE[[0x20, 9, 11, 12, 13]] = 32
 
 
 def surface(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -65,13 +68,15 @@ def surface(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, at: np.nd
     return out
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of hashed character 3-grams, and of words and pairs of words, in each text.
+def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of hashed n-grams of shapes in each text: of 3 characters, and of words and pairs of words.
 
     The scalar product of two rows is the Bhattacharyya coefficient of what the texts consist of.
     """
     n, size = len(offsets) - 1, 1 << GRAM_BITS
-    code = _ALPHABET[data]
+    shape = _SHAPE[data]
+    hashes, at = tx.words(shape, offsets)
+    code = shape.astype(np.uint32)
     row = np.repeat(np.arange(n), np.diff(offsets))
     inside = row[:-2] == row[2:]
     gram = (code[:-2] << np.uint32(16) | code[1:-1] << np.uint32(8) | code[2:])[inside]
@@ -91,7 +96,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
             j = min(b, i + ROWS_AT_ONCE)
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             hashes, at = tx.words(part, own)
-            yield i, j, grams(part, own, hashes, at), surface(part, own, hashes, at)
+            yield i, j, grams(part, own), surface(part, own, hashes, at)
 
 
 def directions() -> np.ndarray:
@@ -256,8 +261,8 @@ def quality_scorer(model: Model | None):
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for all documents, learned from those not held out.
 
-    The inputs are hashed character 3-grams, words and pairs of words of the whole text, by their principal
-    components, and a few shares of kinds of bytes; nothing else of a row is looked at.
+    The inputs are hashed n-grams of shapes (see ``grams``) of the whole text, by their principal components,
+    and a few shares of kinds of bytes; nothing else of a row is looked at.
 
     Defined results: null and empty texts have the score of a text without n-grams; a text of any length is
     scored whole; equal texts have equal scores, so repeated rows do; a score of exactly 0.5 counts as 1; a

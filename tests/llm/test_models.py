@@ -152,10 +152,10 @@ def test_scores_against_a_plain_count():
 
     def count(text):
         out = np.zeros(2 << quality.GRAM_BITS)
-        b = [48 if 48 <= c <= 57 else 32 if c in b" \t\n\v\f\r" else c for c in text.encode()]
+        b = [48 if 48 <= c <= 57 else 32 if c in b" \t\n\v\f\r" else 65 if 65 <= c <= 90 else 97 if c >= 128 or 97 <= c <= 122 else c for c in text.encode()]
         for i in range(len(b) - 2):
             out[((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 32 - quality.GRAM_BITS] += 1 / (len(b) - 2)
-        h = [int(v) for v in tx.words(*tx.utf8(pa.array([text])))[0]]
+        h = [int(v) for v in tx.words(*tx.utf8(pa.array([bytes(b)])))[0]]
         items = h + [int(tx.mix(np.array([(a * 3 + c) % 2**64], np.uint64))[0]) for a, c in zip(h, h[1:], strict=False)]
         for v in items:
             out[(1 << quality.GRAM_BITS) + (v >> 64 - quality.GRAM_BITS)] += 1 / len(items)
