@@ -17,7 +17,7 @@ from brindle.session import bound_batches, materialize, release, scratch
 #: Shingles that one call of the sketch handles.
 SHINGLES_AT_ONCE = 1 << 15
 
-_SKETCH = "doc_id bigint, raw binary, n_shingles bigint, bands array<bigint>, bits array<bigint>"
+_SKETCH = "doc_id bigint, raw binary, own struct<id:bigint,source:string>, n_words bigint, n_shingles bigint, bands array<bigint>, bits array<bigint>"
 
 
 def _sketched(k: int, t: int, rows: int):
@@ -26,7 +26,8 @@ def _sketched(k: int, t: int, rows: int):
             data, offsets = tx.utf8(batch.column("text"))
             for a, b in tx.groups(offsets, 8 * SHINGLES_AT_ONCE):
                 part = offsets[a : b + 1] - offsets[a]
-                sh, at = tx.distinct(*tx.shingles(*tx.words(data[offsets[a] : offsets[b]], part), k))
+                words = tx.words(data[offsets[a] : offsets[b]], part)
+                sh, at = tx.distinct(*tx.shingles(*words, k))
                 n = np.diff(at)
                 keys, bits = [], []
                 for i, j in tx.groups(at, SHINGLES_AT_ONCE):
@@ -38,7 +39,7 @@ def _sketched(k: int, t: int, rows: int):
                 def lists(x: np.ndarray) -> pa.Array:
                     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("raw")[a:b], pa.array(n), lists(keys), lists(bits)], ["doc_id", "raw", "n_shingles", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("raw")[a:b], batch.column("own")[a:b], pa.array(np.diff(words[1])), pa.array(n), lists(keys), lists(bits)], ["doc_id", "raw", "own", "n_words", "n_shingles", "bands", "bits"])
 
     return run
 
@@ -157,22 +158,28 @@ def grouped(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int
     return out.select("doc_id", "raw", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def components_by_text(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int = 128, rows: int = 4) -> DataFrame:
-    """A written table of _raw, the md5 of a text, and component_id, a row for each different text that
-    occurs again or is linked; see ``grouped``."""
-    with scratch() as keep:
-        return keep(_grouped(docs, k, share, of, t, rows)[1])
+def sized_components(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, t: int = 128, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Two written tables of one pass over the texts, for documents that are told apart without an id, too.
+
+    The first has raw, the md5 of the text, own, a struct of the document's id and source, and n_words of all
+    rows; the second _raw and component_id, a row for each different text that occurs again or is linked; see
+    ``grouped``. Rows without a doc_id are named by a hash of their text.
+    """
+    id_, source = F.col("doc_id").cast("bigint"), F.col("source").cast("string")
+    named = docs.select(F.coalesce(id_, F.xxhash64("text")).alias("doc_id"), "text", F.struct(id_.alias("id"), source.alias("source")).alias("own"))
+    return _grouped(named, k, share, of, t, rows, True)
 
 
-def _grouped(docs: DataFrame, k: int, share: int, of: int, t: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: doc_id, raw and n_shingles of all rows, and the components by text."""
+def _grouped(docs: DataFrame, k: int, share: int, of: int, t: int, rows: int, carried: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, raw, own, n_words and n_shingles of all rows, and the components by text."""
     if t != 128:
         raise ValueError("low bits are compared as two 64-bit numbers, so t has to be 128")
     bound_batches(docs.sparkSession)
+    none = F.lit(None).cast("struct<id:bigint,source:string>")
     with scratch() as keep:
-        base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("raw"), "text")
+        base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("raw"), "text", F.col("own") if carried else none.alias("own"))
         sketched = materialize(base.mapInArrow(_sketched(k, t, rows), _SKETCH).withColumn("uid", F.monotonically_increasing_id()), "sketches")
-        ids = keep(materialize(sketched.select("doc_id", "raw", "n_shingles"), "ids"))
+        ids = keep(materialize(sketched.select("doc_id", "raw", "own", "n_words", "n_shingles"), "ids"))
         some = sketched.filter("n_shingles > 0")
         once = some.groupBy("raw", "doc_id").agg(F.min("uid").alias("uid"), F.count("*").alias("times"))
         classes = materialize(once.groupBy("raw").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), (F.max("times") > 1).alias("again"), F.sum("times").alias("copies")), "classes")

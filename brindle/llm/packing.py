@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import small
-from brindle.llm.near_dedup import components_by_text
-from brindle.llm.sizes import word_count
+from brindle.llm.near_dedup import sized_components
 from brindle.session import materialize, scratch
 
 #: Documents of a shard, which one task packs; its memory is bounded by this.
@@ -139,13 +138,11 @@ def clustered(docs: DataFrame) -> DataFrame:
     copies share it; rows without a doc_id, too, by a hash of their text in its place. A text without
     words has none.
     """
-    named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("doc_id"), "text")
     with scratch() as keep:
-        names = components_by_text(named)
-        sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.unhex(F.md5("text")).alias("raw"))
-        sizes = materialize(sizes, "sizes")
-        cluster = F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id", F.xxhash64("raw"))).alias("cluster")
-        return keep(materialize(sizes.join(small(names), F.col("raw") == F.col("_raw"), "left").select("doc_id", "source", "size", cluster), "clustered"))
+        rows, names = sized_components(docs)
+        cluster = F.when(F.col("n_words") > 0, F.coalesce("component_id", "own.id", F.xxhash64("raw"))).alias("cluster")
+        found = rows.join(small(names), F.col("raw") == F.col("_raw"), "left")
+        return keep(materialize(found.select(F.col("own.id").alias("doc_id"), F.col("own.source").alias("source"), F.col("n_words").alias("size"), cluster), "clustered"))
 
 
 def best_fit(sizes: DataFrame, capacity: int = 2048, per_source: int = 4, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
