@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from brindle.llm.components import components, small
 from brindle.session import materialize, release, scratch
@@ -19,6 +20,12 @@ BLOCK_ROWS = 4096
 PART_ROWS = 1024
 #: Chance that a pair at the least similarity is not counted often enough.
 MISS = 1e-7
+#: Chance that such a pair shares no bucket in any table.
+TABLES_MISS = 1e-6
+#: Most signs of a bucket's key.
+MOST_SIGNS = 40
+#: Projections that one matrix product gives.
+SIGNS_AT_ONCE = 1 << 21
 
 
 def calibrate(cosine: float, projections: int, miss: float = MISS) -> tuple[float, int]:
@@ -39,6 +46,16 @@ def calibrate(cosine: float, projections: int, miss: float = MISS) -> tuple[floa
         count += 1
 
 
+def tables_of(cosine: float, signs: int, miss: float = TABLES_MISS) -> int:
+    """How many tables with keys of ``signs`` signs retrieve a pair of the given cosine but with chance ``miss``.
+
+    The projections of two vectors on a Gaussian direction have one sign with chance 1 - angle / pi,
+    whatever the vectors.
+    """
+    p = (1 - math.acos(cosine) / math.pi) ** signs
+    return 1 if p >= 1 else math.ceil(math.log(miss) / math.log1p(-p))
+
+
 def directions(dim: int, projections: int, seed: int) -> np.ndarray:
     """Fixed Gaussian directions."""
     return np.random.default_rng([seed, dim]).standard_normal((dim, projections))
@@ -63,11 +80,63 @@ def collisions(queries: np.ndarray, points: np.ndarray, width: float) -> np.ndar
     return out
 
 
+def _keyed(cosine: float, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs, value = batch.column("signs").to_numpy(zero_copy_only=False), batch.column("vector")
+            dims = np.diff(value.offsets.to_numpy())
+            start = np.concatenate([[0], np.cumsum(dims)])
+            flat = value.flatten().to_numpy(zero_copy_only=False)
+            keys: list = [[0]] * len(signs)
+            for k, dim in {(int(k), int(d)) for k, d in zip(signs, dims, strict=True) if k}:
+                same = np.flatnonzero((signs == k) & (dims == dim))
+                tables = tables_of(cosine, k)
+                lines = directions(dim, tables * k, seed + 1)
+                step = max(1, SIGNS_AT_ONCE // (tables * k))
+                for at in range(0, len(same), step):
+                    rows = same[at : at + step]
+                    x = flat[start[rows][:, None] + np.arange(dim)]
+                    positive = x / np.abs(x).max(axis=1)[:, None] @ lines >= 0
+                    found = positive.reshape(len(rows), tables, k) @ (1 << np.arange(k, dtype=np.int64))
+                    for row, key in zip(rows.tolist(), found, strict=True):
+                        keys[row] = key
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "keys"])
+
+    return run
+
+
+def _tables(held: DataFrame, sizes: DataFrame, cosine: float, block_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``held`` with keys, a vector's bucket in each table, and the buckets of two rows or more with their numbers of rows.
+
+    A label that fits a block has one bucket; so has one whose tables would compare more than half of its pairs.
+    """
+    signs = F.least(F.ceil(F.log2(F.col("rows") / block_rows)), F.lit(MOST_SIGNS)).cast("int")
+    sizes = sizes.withColumn("signs", F.greatest(signs, F.lit(0)))
+    whole = sizes.select("_label", F.lit(0).alias("_table"), F.lit(0).cast("bigint").alias("_bucket"), "rows")
+    if sizes.filter("signs > 0").isEmpty():
+        return held.withColumn("keys", F.array(F.lit(0).cast("bigint"))), whole.filter("rows > 1")
+    rows = held.join(small(sizes), F.col("label") == F.col("_label")).select("node", "times", "label", "vector", "signs")
+    schema = StructType(rows.drop("signs").schema.fields).add("keys", ArrayType(LongType()))
+    keyed = materialize(rows.mapInArrow(_keyed(cosine, seed), schema), "keyed")
+    buckets = keyed.select(F.col("label").alias("_label"), F.posexplode("keys").alias("_table", "_bucket"))
+    buckets = materialize(buckets.groupBy("_label", "_table", "_bucket").agg(F.count("*").alias("rows")), "buckets")
+    work = buckets.groupBy("_label").agg(F.sum(F.col("rows").cast("double") ** 2).alias("work"))
+    many = work.join(sizes, "_label").filter((F.col("signs") > 0) & (2 * F.col("work") < F.col("rows").cast("double") ** 2)).select("_label")
+    many = small(materialize(many, "many"))
+    buckets = buckets.join(many, "_label", "left_semi").unionByName(whole.join(many, "_label", "left_anti"))
+    tables = many.select(F.col("_label").alias("_many"))
+    keyed = keyed.join(tables, F.col("label") == F.col("_many"), "left")
+    keys = F.when(F.col("_many").isNotNull(), F.col("keys")).otherwise(F.array(F.lit(0).cast("bigint")))
+    return keyed.select("node", "times", "label", "vector", keys.alias("keys")), buckets.filter("rows > 1")
+
+
 def _linked(cosine: float, projections: int, least: int, width: float, seed: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         node, times = (table.column(c).to_numpy() for c in ("node", "times"))
         part = table.column("part").to_numpy()
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        earlier, one, other = key[1].as_py(), key[3].as_py(), key[4].as_py()
         value = table.column("vector").combine_chunks()
         flat = value.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         dims = np.diff(value.offsets.to_numpy())
@@ -85,9 +154,9 @@ def _linked(cosine: float, projections: int, least: int, width: float, seed: int
             x = flat[start[rows][:, None] + np.arange(dim)]
             x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
             p = x @ directions(int(dim), projections, seed)
-            same = key[1].as_py() == key[2].as_py()
-            a = np.arange(len(rows)) if same else np.flatnonzero(part[rows] == key[1].as_py())
-            b = a if same else np.flatnonzero(part[rows] == key[2].as_py())
+            same = one == other
+            a = np.arange(len(rows)) if same else np.flatnonzero(part[rows] == one)
+            b = a if same else np.flatnonzero(part[rows] == other)
             if not len(a) or not len(b):
                 continue
             for lo in range(0, len(a), PART_ROWS):
@@ -100,6 +169,8 @@ def _linked(cosine: float, projections: int, least: int, width: float, seed: int
                     for s in range(0, len(i), 1 << 16):
                         u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                         near = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
+                        for t in range(earlier):  # a pair counts in the first table that it shares a bucket of
+                            near &= keys[rows[u], t] != keys[rows[v], t]
                         u, v = rows[u[near]], rows[v[near]]
                         found += np.bincount(u, weights=times[v], minlength=len(node)).astype(np.int64)
                         found += np.bincount(v, weights=times[u], minlength=len(node)).astype(np.int64)
@@ -121,14 +192,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, projections: int = 64
     for each row. Candidates are pairs that collide often enough in windows of one-dimensional
     projections (see ``calibrate``); their cosine is then computed in double precision.
 
-    Equal vectors of a label are one class with a number of copies, so copies are never paired. The
-    classes of a label are dealt by hash to blocks of about ``block_rows``, and a task gets two blocks;
-    a label with a third of all rows so makes more tasks, not larger ones. A task returns counts of links
-    and a spanning forest, not pairs: a row a vector at most. As near and far pairs differ in how often
-    they collide, not whether, all pairs of blocks of a label are counted: the work grows with the
-    square of a label's size, and what is shuffled with that square divided by ``block_rows``. Tables of
-    several quantized projections would retrieve fewer pairs, but each vector's number of links asks for
-    every linked pair once, and a group of near copies would have to be sent from all tables as pairs.
+    Equal vectors of a label are one class with a number of copies, so copies are never paired. A label
+    of n classes that doesn't fit a block has tables of buckets: a bucket is where log2(n / block_rows)
+    projections have given signs, and there are as many tables as let a pair at the limit share no bucket with a chance of
+    ``TABLES_MISS`` only. A pair counts in the first table that it shares a bucket of, which both rows' keys
+    tell, so no pairs are sent to find those met twice. The classes of a bucket are dealt by hash to
+    blocks of about ``block_rows``, and a task gets two blocks; a large bucket so makes more tasks, not
+    larger ones. A task returns counts of links and a spanning forest, not pairs: a row a vector at most.
+    At a cosine of 0.93 the pairs compared grow as a power of 1.18 of a label's vectors if these are spread.
+    Where the buckets, which are counted first, hold more than half as many pairs as the label, as in
+    one group of near copies whose links all have to be counted, the label is one bucket, and its work
+    grows with the square of its size.
 
     All intermediate tables are released but the two that the result is read from, which stay until the
     caller's ``scratch`` ends.
@@ -154,13 +228,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, projections: int = 64
         held = rows.join(classes.select("node", "times"), F.col("uid") == F.col("node")).select("node", "times", "label", "vector")
         held = materialize(held, "held")
         release(rows)
-        blocks = held.groupBy(F.col("label").alias("_label")).agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias("parts"))
-        blocks = small(materialize(blocks, "parts"))
+        sizes = materialize(held.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("rows")), "sizes")
+        keyed, buckets = _tables(held, sizes, cosine, block_rows, seed)
+        buckets = small(materialize(buckets.withColumn("parts", F.ceil(F.col("rows") / block_rows).cast("int")).drop("rows"), "parts"))
+        placed = keyed.select("*", F.posexplode("keys").alias("table", "bucket"))
         part = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts")).cast("int")
-        dealt = held.join(blocks, F.col("label") == F.col("_label")).withColumn("part", part)
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "times", "vector")
-        found = dealt.groupBy("label", "p", "q").applyInArrow(_linked(cosine, projections, least, width, seed), "node bigint, root bigint, links bigint")
+        inside = (F.col("label") == F.col("_label")) & (F.col("table") == F.col("_table")) & (F.col("bucket") == F.col("_bucket"))
+        dealt = placed.join(buckets, inside).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("label", "table", "bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "times", "vector", "keys")
+        found = dealt.groupBy("label", "table", "bucket", "p", "q").applyInArrow(_linked(cosine, projections, least, width, seed), "node bigint, root bigint, links bigint")
         found = materialize(found, "links")
         roots = materialize(components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))), "roots")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))

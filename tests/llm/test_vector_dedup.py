@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import vector_dedup as vd
+from brindle.session import scratch
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, node bigint, class string"
 
@@ -86,3 +89,51 @@ def test_calibration_holds_for_pairs_at_the_limit():
     assert (far >= least).mean() < 0.02
     p, q = a[:5] @ d, a[5:30] @ d
     assert (vd.collisions(p, q, width) == (np.abs(p[:, None] - q[None]) <= width).sum(axis=2)).all()
+
+
+def test_tables_of_buckets(spark):
+    """A label of many blocks is searched by tables, one of near copies only as a whole; links are those of all pairs."""
+    rng = np.random.default_rng(8)
+    spread = [rng.normal(size=24) for _ in range(500)]
+    for _ in range(30):
+        base = rng.normal(size=24)
+        spread += [base + rng.normal(size=24) * rng.uniform(0.02, 0.45) for _ in range(8)]
+    near = rng.normal(size=24)
+    hot = [near + rng.normal(size=24) * 0.1 for _ in range(200)]
+    rows = [(i, x.astype(np.float32).tolist(), label) for i, (x, label) in enumerate([(x, 0) for x in spread] + [(x, 1) for x in hot])]
+    rows += [(2000, [1.0, 2.0], 0), (2001, [1.0, 2.01], 0), (2002, [-1.0, 2.0], 0), (2003, [1.0, 0.0], 2)]
+    assert run(spark, rows, block_rows=8) == brute(rows)
+
+
+def test_buckets_are_counted_before_they_are_chosen(spark):
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=24)
+    held = [(i, 1, 0, rng.normal(size=24).tolist()) for i in range(800)] + [(800 + i, 1, 1, (near + rng.normal(size=24) * 0.02).tolist()) for i in range(800)]
+    held = spark.createDataFrame(held, "node bigint, times bigint, label int, vector array<double>")
+    sizes = held.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("rows"))
+    with scratch():
+        keyed, buckets = vd._tables(held, sizes, 0.93, 8, 11)
+        lengths = {(r.label, len(r["keys"])) for r in keyed.collect()}
+        found = buckets.collect()
+    assert lengths == {(0, vd.tables_of(0.93, 7)), (1, 1)}
+    assert [(r._table, r._bucket, r.rows) for r in found if r._label == 1] == [(0, 0, 800)]
+    assert sum(r.rows**2 for r in found if r._label == 0) < 800**2 / 2
+
+
+def test_pairs_at_the_limit_share_a_bucket():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(4000, 48))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(axis=1)[:, None] * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    for signs in (5, 9):
+        tables = vd.tables_of(0.93, signs)
+        batch = pa.RecordBatch.from_pydict({"vector": pa.array([*a.tolist(), *b.tolist()]), "signs": pa.array([signs] * 8000, pa.int32())})
+        (out,) = vd._keyed(0.93, 11)([batch])
+        keys = np.array(out.column("keys").to_pylist())
+        assert keys.shape == (8000, tables)
+        shared = keys[:4000] == keys[4000:]
+        assert shared.any(axis=1).all()
+        assert abs(shared.mean() - (1 - np.arccos(0.93) / np.pi) ** signs) < 0.02
+        assert (keys[:2000] == keys[2000:4000]).mean() < 2 * 0.5**signs
