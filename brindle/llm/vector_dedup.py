@@ -108,10 +108,12 @@ def _keyed(cosine: float, seed: int):
 def _tables(held: DataFrame, sizes: DataFrame, cosine: float, block_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """``held`` with keys, a vector's bucket in each table, and the buckets of two rows or more with their numbers of rows.
 
-    A label that fits a block has one bucket; so has one whose tables would compare more than half of its pairs.
+    A label that fits a block has one bucket; so has one whose tables would compare more than half of its
+    pairs. Buckets of equal size hold the fewest pairs, so with few signs that is known before any are counted.
     """
+    worth = next((k for k in range(1, MOST_SIGNS + 1) if 2 * tables_of(cosine, k) < 2**k), MOST_SIGNS + 1)
     signs = F.least(F.ceil(F.log2(F.col("rows") / block_rows)), F.lit(MOST_SIGNS)).cast("int")
-    sizes = sizes.withColumn("signs", F.greatest(signs, F.lit(0)))
+    sizes = sizes.withColumn("signs", F.when(signs >= worth, signs).otherwise(0))
     whole = sizes.select("_label", F.lit(0).alias("_table"), F.lit(0).cast("bigint").alias("_bucket"), "rows")
     if sizes.filter("signs > 0").isEmpty():
         return held.withColumn("keys", F.array(F.lit(0).cast("bigint"))), whole.filter("rows > 1")
